@@ -248,7 +248,7 @@ def a13(spark, d):
 
 
 @case(
-    "a14_rollup_path", "order_id:l picks:a survival:d8 pct:d8",
+    "a14_rollup_path", "order_id:l picks:a survival:d14 pct:d14",
     """WITH l AS (SELECT l_orderkey AS order_id, l_linenumber AS line, min(l_partkey) AS part, min(1 - l_discount) AS keep, min(l_tax + 0.5) AS pct FROM lineitem GROUP BY ALL)
        SELECT order_id, list(part ORDER BY line) AS picks, product(keep) AS survival, product(pct) AS pct FROM l GROUP BY ALL""",
 )

@@ -1 +1,61 @@
-"""Cases."""
+"""Forests. Trees differ between libraries, so these have no SQL; tests check the error."""
+
+from pyspark.sql import functions as F
+
+from pickwright.catalog.base import case
+from pickwright.catalog.bindings import games, team_games
+from pickwright.operators import models
+from pickwright.operators.rows import derive_result, mismatch_features
+from pickwright.operators.windows import future_mean, group_stats, minmax_stars, relative_stats
+
+FEATURES = [
+    "win", "adv_mean", "adv_max", "adv_min", "adv_std", "win_vs_mean", "win_vs_top", "win_from_top", "win_is_top", "future_mean", "stars",
+    "week", "away_share", "games", "thursdays", "line", "late",
+]
+
+
+def pick_features(spark, d):
+    """One row per (season, week, team) with the crowd's share to learn."""
+    tg = team_games(spark, d)
+    cells = tg.groupBy("season", "week", "team").agg(
+        F.avg("win").alias("win"), F.avg(F.col("is_away").cast("double")).alias("away_share"), F.count("*").alias("games"),
+        F.sum((F.weekday("day") == 3).cast("int")).alias("thursdays"), F.max("line").alias("line"), F.avg((F.dayofmonth("day") > 15).cast("double")).alias("late"),
+    )
+    cells = cells.withColumn("adv", F.col("win") - 0.5)
+    cells = relative_stats(group_stats(cells, ["season", "week"], ["adv"]), ["season", "week"], ["win"])
+    cells = minmax_stars(future_mean(cells, ["season", "team"], "week", "adv"), ["season", "week"], "future_mean")
+    return cells.withColumn("pick_share", F.greatest(F.lit(0.0), F.col("win_vs_mean")) * 0.3 + F.col("stars") * 0.01)
+
+
+@case("i9_pick_model", "season:l week:l team:l pick_pct:d")
+def i9(spark, d):
+    rows = pick_features(spark, d)
+    fitted = models.train_pick_model(rows, FEATURES, "pick_share", ["season", "week", "team"], trees=50)
+    return models.predict_picks(fitted, rows)
+
+
+@case("i10_feature_elimination", "season:l week:l team:l kept:l best:d")
+def i10(spark, d):
+    rows = pick_features(spark, d)
+    kept = models.rfe(rows, FEATURES, "pick_share", keep=7, step=5, trees=30)
+    return rows.select("season", "week", "team", F.lit(len(kept)).alias("kept"), F.greatest(*[F.col(c).cast("double") for c in kept]).alias("best"))
+
+
+def upset_rows(spark, d):
+    g = derive_result(games(spark, d), "home", "away", "home_score", "away_score", "spread")
+    g = g.withColumns(
+        {
+            "home_Off_Run_EPA_Pct": F.col("total") / 5000, "away_Def_Run_EPA_Pct": F.when(F.col("cust") % 10 != 0, (F.col("cust") % 100).cast("double")),
+            "away_Off_Run_EPA_Pct": (F.col("game_id") % 100).cast("double"), "home_Def_Run_EPA_Pct": (F.col("cust") % 50).cast("double"),
+        }
+    )
+    return mismatch_features(g)
+
+
+@case("i11_upset_model", "game_id:l upset_probability:d")
+def i11(spark, d):
+    rows = upset_rows(spark, d)
+    features = ["spread", "total", "Matchup_HomeOff_Run", "Matchup_AwayOff_Run", "week"]
+    played = rows.where(F.col("upset").isNotNull() & (F.col("spread") != 0)).withColumn("upset", F.col("upset").cast("int"))
+    fitted = models.train_upset_model(played.where("season < 2000"), features, "upset")
+    return models.predict_upsets(fitted, rows.where("season >= 2000"))

@@ -248,13 +248,13 @@ def p16(spark, d):
 def fan_predicates():
     c = F.col
     return {
-        "Overall": c("kind").isNotNull(), "Run": c("kind") == "OR", "Pass": c("kind").startswith("F"),
+        "Overall": c("kind").isNotNull(), "Run": c("kind").startswith("O"), "Pass": c("kind").startswith("F"),
         "Short": c("dist").between(0, 3), "Redzone": c("field") <= 20, "3rd_Down": c("down") == 3, "1st_Down": c("down") == 1,
     }
 
 
 FAN_SQL = """fan AS (SELECT plays.*, category FROM plays, (VALUES ('Overall'), ('Run'), ('Pass'), ('Short'), ('Redzone'), ('3rd_Down'), ('1st_Down')) v(category)
-  WHERE CASE category WHEN 'Overall' THEN true WHEN 'Run' THEN kind = 'OR' WHEN 'Pass' THEN kind LIKE 'F%' WHEN 'Short' THEN dist BETWEEN 0 AND 3
+  WHERE CASE category WHEN 'Overall' THEN true WHEN 'Run' THEN kind LIKE 'O%' WHEN 'Pass' THEN kind LIKE 'F%' WHEN 'Short' THEN dist BETWEEN 0 AND 3
   WHEN 'Redzone' THEN field <= 20 WHEN '3rd_Down' THEN down = 3 ELSE down = 1 END)"""
 
 

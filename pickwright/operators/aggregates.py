@@ -409,6 +409,19 @@ def distinct_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(*cols).distinct()
 
 
+def current_week(schedule: DataFrame, as_ofs: DataFrame, keys: Sequence[str], day: str, week: str, holidays: Sequence[str] = (), cap: int = 19) -> DataFrame:
+    """Upcoming contest week at each ``as_of``: last week played + 1, one more per holiday
+    passed, at most ``cap``; 1 before the first game. ``as_ofs``: keys, as_of, holiday dates."""
+    days = schedule.where(not_null([*keys, day])).groupBy(*keys, day).agg(F.max(week).alias("_w"))
+    asked = as_ofs.select(*keys, "as_of", *holidays)
+    played = asked.join(days, list(keys)).where(F.col(day) <= F.col("as_of")).groupBy(*keys, "as_of").agg(F.max("_w").alias("_w"))
+    passed = F.lit(0)
+    for h in holidays:
+        passed = passed + F.when(F.col("as_of") >= F.col(h), 1).otherwise(0)
+    start = F.when(F.col("_w").isNull(), 1).otherwise(F.least(F.col("_w") + 1 + passed, F.lit(cap)))
+    return asked.join(played, [*keys, "as_of"], "left").select(*keys, "as_of", start.alias("current_week"))
+
+
 def as_of_weighted_mean(df: DataFrame, key: str, day: str, x: str, dates: Sequence[str], rate: float = K.DECAY_RATE) -> DataFrame:
     """Decayed weighted mean of every key as of every date, in one pass over the facts.
 

@@ -93,6 +93,8 @@ def opponent_adjusted(
     cells = fanned.groupBy(*k, "category", team, opponent, "_home").agg(
         F.sum(w).alias("_w"), F.count("*").alias("_n"), *[F.sum(F.col(c) * w).alias(f"_{n}") for n, c in values.items()]
     )
+    # read four times below, and far smaller than the plays
+    cells = cut_lineage(cells)
     # league means are over the plays themselves, not over their categories
     league = base.groupBy(*k).agg(*[(F.sum(F.col(c) * w) / F.sum(w)).alias(f"_{n}_lg") for n, c in values.items()]) if k else None
     if league is None:
@@ -119,7 +121,7 @@ def opponent_adjusted(
             .where(F.col("weight_score") >= min_weight)
             .withColumn("side", F.lit(side))
         )
-    out = sides[0].unionByName(sides[1])
+    out = cut_lineage(sides[0].unionByName(sides[1]))
     for n in values:
         out = weak_percentile(out, [*k, "category", "side"], n, f"{n}_pct", invert=F.col("side") == "Defense")
     return out
