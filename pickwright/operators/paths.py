@@ -57,44 +57,64 @@ def _slot_candidates(
     )
 
 
-def auction_prices(pdf: pd.DataFrame) -> np.ndarray:
-    """A price >= 0 per team at which slots bid for teams; any prices give a valid bound."""
-    slots, teams = pdf["_slot"].astype("category").cat.codes.to_numpy(), pdf["_t"].astype("category").cat.codes.to_numpy()
+def auction(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Slots bid for teams: a price >= 0 per team, and the slot that holds it (-1: none).
+
+    Any prices give a valid bound and any full holding is a path; the search below is exact
+    whatever comes out here, only slower when the prices are bad.
+    """
+    slots, teams = pdf["_slot"].to_numpy(), pdf["_t"].astype("category").cat.codes.to_numpy()
     reward = np.full((slots.max() + 1, teams.max() + 1), -np.inf)
     reward[slots, teams] = pdf["_s"].to_numpy()
     span = max(float(pdf["_s"].max() - pdf["_s"].min()), 1e-6)
-    eps = span / (200.0 * len(reward))
+    eps = span / (2000.0 * len(reward))
     price, owner, waiting = np.zeros(reward.shape[1]), np.full(reward.shape[1], -1), list(range(len(reward)))
-    for _ in range(20_000):
+    for _ in range(200_000):
         if not waiting:
             break
         s = waiting.pop()
         value = reward[s] - price
         t = int(value.argmax())
-        rest = np.delete(value, t)
-        second = rest.max() if len(rest) and np.isfinite(rest.max()) else value[t] - span
-        price[t] += value[t] - second + eps
+        best, value[t] = value[t], -np.inf
+        second = value.max()
+        if not np.isfinite(best):
+            break
+        price[t] += best - (second if np.isfinite(second) else best - span) + eps
         if owner[t] >= 0:
             waiting.append(int(owner[t]))
         owner[t] = s
-    return price
+    return price, owner
 
 
 def _with_prices(cands: DataFrame, keys: list[str]) -> DataFrame:
-    """Reduced scores. A contest's cut candidates are at most slots x (slots + k - 1) rows."""
+    """Adds a team's price and the slot that holds it. A contest's cut candidates are at
+    most slots x (slots + k - 1) rows, so its group stays small whatever the input."""
+
     def price(pdf: pd.DataFrame) -> pd.DataFrame:
-        by_team = pd.DataFrame({"_t": pdf["_t"].astype("category").cat.categories, "_price": auction_prices(pdf)})
+        prices, owner = auction(pdf)
+        by_team = pd.DataFrame({"_t": pdf["_t"].astype("category").cat.categories, "_price": prices, "_owner": owner})
         return pdf[[*keys, "_slot", "_t", "_s", "_free"]].merge(by_team, on="_t")
 
     fields = [f"{c} {dict(cands.dtypes)[c]}" for c in keys]
-    schema = ", ".join([*fields, "_slot int, _t string, _s double, _free boolean, _price double"])
+    schema = ", ".join([*fields, "_slot int, _t string, _s double, _free boolean, _price double, _owner int"])
     return cands.groupBy(*keys).applyInPandas(price, schema)
 
 
+def _floor(ready: DataFrame, keys: list[str], slots: int, k: int) -> DataFrame:
+    """A total that k known paths reach: the held teams, and each swap of one of them for
+    a team nobody holds. Null when the holding is not complete."""
+    held = ready.where(F.col("_owner") == F.col("_slot"))
+    whole = held.groupBy(*keys).agg(F.sum("_s").alias("_total"), F.count("*").alias("_n")).where(F.col("_n") == slots)
+    swaps = ready.where(F.col("_owner") < 0).join(held.select(*keys, "_slot", F.col("_s").alias("_held")), [*keys, "_slot"])
+    swaps = swaps.join(whole, keys).select(*keys, (F.col("_total") - F.col("_held") + F.col("_s")).alias("_total"))
+    known = _limit(whole.select(*keys, "_total").unionByName(swaps), keys, [F.desc("_total")], k)
+    return known.groupBy(*keys).agg(F.when(F.count("*") >= k, F.min("_total")).alias("_floor"))
+
+
 def _extend(paths: DataFrame, cands: DataFrame, keys: list[str], slot: int, same_week: bool) -> DataFrame:
-    """All one-pick continuations of the paths; free picks of one week go in team order."""
-    nxt = cands.where(F.col("_slot") == slot).select(*keys, "_t", "_s", "_free", "_slack")
-    ok = ~F.array_contains("picks", F.col("_t"))
+    """One-pick continuations within the budget; free picks of one week go in team order."""
+    nxt = cands.where(F.col("_slot") == slot).select(*keys, "_t", "_s", "_free", "_slack", "_budget")
+    ok = ~F.array_contains("picks", F.col("_t")) & (F.col("slack") + F.col("_slack") <= F.col("_budget"))
     if same_week:
         ok = ok & (F.col("_last").isNull() | (F.col("_t") > F.col("_last")))
     return paths.join(nxt, keys).where(ok).select(
@@ -129,52 +149,40 @@ def best_paths(
     k: int = 1,
     picks: Mapping[int, int] | None = None,
     required: DataFrame | None = None,
-    beam: int = 64,
     cut_every: int = 6,
 ) -> DataFrame:
     """The k best paths of every contest: (keys, rank, picks, total, exact).
 
     ``picks`` gives the weeks with two or three picks, ``required`` (keys, week, team) the
-    forced ones. ``keys`` name the contest. A contest without candidates in a listed week has no path.
+    forced ones. ``keys`` name the contest. A contest without candidates in a listed week has
+    no path.
 
-    Exact for any input. Paths are joined with the next slot's candidates level by level.
-    A first, narrow run only finds k good complete paths; the second run keeps every path
-    whose bound still reaches the k-th of them. The bound is additive: with team prices,
-    a path can be worth at most (sum of slot maxima + all prices) minus its own slack.
+    Exact for any input. Paths are joined with the next slot's candidates level by level, and
+    a path stays while its bound reaches a total that k known paths have. The bound is
+    additive: with a price per team, no path is worth more than (sum of the slots' best
+    reduced scores + all prices) minus its own slack.
     """
     ks = list(keys)
     slots = _slots(weeks, picks)
     raw = _slot_candidates(cands, ks, week, team, score, slots, k, required)
     priced = _with_prices(raw, ks).withColumn("_r", F.col("_s") - F.col("_price"))
-    tops = priced.groupBy(*ks, "_slot").agg(F.max("_r").alias("_top"))
-    ready = cut_lineage(priced.join(tops, [*ks, "_slot"]).withColumn("_slack", F.col("_top") - F.col("_r")))
-    # the best value any assignment could have, per contest
-    prices = ready.select(*ks, "_t", "_price").distinct().groupBy(*ks).agg(F.sum("_price").alias("_prices"))
-    ceiling = ready.select(*ks, "_slot", "_top").distinct().groupBy(*ks).agg(F.sum("_top").alias("_tops"))
-    ceiling = ceiling.join(prices, ks).select(*ks, (F.col("_tops") + F.col("_prices")).alias("_ceiling"))
-
-    def run(source: DataFrame, width: int | None) -> DataFrame:
-        paths = _start(source, ks)
-        for n in range(1, len(slots)):
-            paths = _extend(paths, source, ks, n, slots[n][0] == slots[n - 1][0])
-            if width:
-                paths = _limit(paths, ks, [F.asc("slack"), "picks"], width)
-            else:
-                # equal sets of teams continue equally: only the k best of a set matter
-                same = [*ks, F.array_sort("picks"), F.coalesce("_last", F.lit(""))]
-                paths = _limit(paths, same, [F.desc("total"), "picks"], k).join(budget, ks).where(
-                    F.col("slack") <= F.col("_budget")
-                ).drop("_budget")
-            if n % cut_every == 0:
-                paths = cut_lineage(paths)
-        return paths
-
-    found = _limit(run(ready, beam), ks, [F.desc("total")], k)
-    floor = found.groupBy(*ks).agg(F.when(F.count("*") >= k, F.min("total")).alias("_floor"))
-    budget = ceiling.join(floor, ks, "left").select(
-        *ks, F.coalesce(F.col("_ceiling") - F.col("_floor"), F.lit(float("inf"))).alias("_budget")
+    tops = cut_lineage(priced)
+    best = tops.groupBy(*ks, "_slot").agg(F.max("_r").alias("_top"))
+    ready = tops.join(best, [*ks, "_slot"]).withColumn("_slack", F.col("_top") - F.col("_r"))
+    prices = tops.groupBy(*ks, "_t").agg(F.first("_price").alias("_price")).groupBy(*ks).agg(F.sum("_price").alias("_prices"))
+    ceiling = best.groupBy(*ks).agg(F.sum("_top").alias("_tops")).join(prices, ks)
+    budget = ceiling.join(_floor(tops, ks, len(slots), k), ks, "left").select(
+        *ks, F.coalesce(F.col("_tops") + F.col("_prices") - F.col("_floor"), F.lit(float("inf"))).alias("_budget")
     )
-    budget = cut_lineage(budget.withColumn("_budget", F.col("_budget") + EPS * (1 + F.abs("_budget"))))
-    tight = cut_lineage(ready.join(budget, ks).where(F.col("_slack") <= F.col("_budget")).drop("_budget"))
-    ranked = run(tight, None).withColumn("rank", F.row_number().over(Window.partitionBy(*ks).orderBy(F.desc("total"), "picks")))
+    budget = budget.withColumn("_budget", F.col("_budget") + EPS * (1 + F.abs("_budget")))
+    source = cut_lineage(ready.join(budget, ks).where(F.col("_slack") <= F.col("_budget")))
+    paths = _start(source, ks)
+    for n in range(1, len(slots)):
+        paths = _extend(paths, source, ks, n, slots[n][0] == slots[n - 1][0])
+        # equal sets of teams continue equally: only the k best of a set matter
+        same = [*ks, F.array_sort("picks"), F.coalesce("_last", F.lit(""))]
+        paths = _limit(paths, same, [F.desc("total"), "picks"], k)
+        if n % cut_every == 0:
+            paths = cut_lineage(paths)
+    ranked = paths.withColumn("rank", F.row_number().over(Window.partitionBy(*ks).orderBy(F.desc("total"), "picks")))
     return ranked.where(F.col("rank") <= k).select(*ks, "rank", "picks", "total", F.lit(True).alias("exact"))

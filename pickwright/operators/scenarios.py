@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pickwright.operators.rows import to_team_long
-from pickwright.skew import add_group_stats, not_null
+from pickwright.skew import add_group_stats, not_null, spread
 
-# Spacing of the quadrature nodes on the logarithmic axis. The trapezoid rule for
-# 1/s = integral of exp(x - s*e^x) dx has an error of about exp(-pi^2/step), below 1e-16 here.
-STEP = 0.25
-MARGIN_LOW, MARGIN_HIGH = -37.0, 3.7
+# Nodes of the trapezoid rule for 1/s = integral of exp(-s t) dt with t = exp(x - exp(-x)).
+# Sums are scaled so that s <= 1; the rule's error is then about exp(-2 pi / STEP), 1e-13,
+# and the parts cut off below NODE_LOW and above NODE_HIGH - log(smallest s) are smaller.
+STEP = 0.2
+NODE_LOW, NODE_HIGH = -3.5, 3.6
 
 
 def expand_outcomes(games: DataFrame, group: Sequence[str], game: str, limit: int = 16) -> DataFrame:
@@ -34,16 +35,23 @@ def expand_outcomes(games: DataFrame, group: Sequence[str], game: str, limit: in
     return out.withColumn("first_wins", first_wins).drop("_n", "_i")
 
 
+def _node(x: Column) -> tuple[Column, Column]:
+    """The point t of a node and its weight."""
+    back = F.exp(-x * STEP)
+    t = F.exp(x * STEP - back)
+    return t, t * (1 + back) * STEP
+
+
 def scenario_ev(
     games: DataFrame, group: Sequence[str], game: str, team_a: str, team_b: str, p_a: str, p_b: str | None, pick_a: str, pick_b: str
 ) -> DataFrame:
     """Expected value of every team: mean over all outcomes of 1 / (shares still alive) if it wins.
 
-    The mean over 2^n outcomes is computed exactly in time linear in n, so no group is too
-    large: 1/S is an integral of exp(-S*t), and for fixed t the outcomes of different games
-    factorise. Per node t the group needs the sum of log((p e^-at) + (q e^-bt)) over its games
-    (one partial aggregation); a team's value is then a sum over the nodes. An outcome that
-    leaves nobody alive counts 0.
+    The mean over 2^n outcomes is computed to about 12 digits in time linear in n, so no group
+    is too large: 1/S is an integral of exp(-S*t), and for fixed t the outcomes of different
+    games factorise. Per node t the group needs the sum of log(p e^-at + q e^-bt) over its
+    games (one partial aggregation); a team's value is then a sum over the nodes. An outcome
+    that leaves nobody alive counts 0.
     """
     g = list(group)
     pa = F.col(p_a)
@@ -52,52 +60,53 @@ def scenario_ev(
         *g, game, F.col(team_a).alias("_ta"), F.col(team_b).alias("_tb"),
         F.when(pa + pb > 0, pa / (pa + pb)).otherwise(0.0).alias("_p"),
         F.when(pa + pb > 0, pb / (pa + pb)).otherwise(0.0).alias("_q"),
-        F.coalesce(pick_a, F.lit(0.0)).alias("_a"), F.coalesce(pick_b, F.lit(0.0)).alias("_b"),
+        F.coalesce(pick_a, F.lit(0.0)).cast("double").alias("_a"), F.coalesce(pick_b, F.lit(0.0)).cast("double").alias("_b"),
     )
     tiny = F.least(F.when(F.col("_a") > 0, F.col("_a")), F.when(F.col("_b") > 0, F.col("_b")))
+    # the chance that the game's winner has no share at all
     dead = F.when(F.col("_a") == 0, F.col("_p")).otherwise(0.0) + F.when(F.col("_b") == 0, F.col("_q")).otherwise(0.0)
     span = rows.groupBy(*g).agg(
-        F.min(tiny).alias("_small"), F.sum(F.greatest("_a", "_b")).alias("_large"),
+        F.min(tiny).alias("_small"), F.sum(F.greatest("_a", "_b")).alias("_scale"),
         F.sum(F.when(dead > 0, F.log(dead)).otherwise(0.0)).alias("_dead_log"), F.sum(F.when(dead > 0, 0).otherwise(1)).alias("_safe"),
     )
     span = span.where(F.col("_small").isNotNull()).select(
-        *g, "_dead_log", "_safe",
-        F.floor((F.lit(MARGIN_LOW) - F.log("_large")) / STEP).cast("int").alias("_from"),
-        F.ceil((F.lit(MARGIN_HIGH) - F.log("_small")) / STEP).cast("int").alias("_to"),
+        *g, "_dead_log", "_safe", "_scale",
+        F.ceil((F.lit(NODE_HIGH) + F.log(F.col("_scale") / F.col("_small"))) / STEP).cast("int").alias("_to"),
     )
+    placed = spread(rows, game).join(span, g).withColumns({"_a": F.col("_a") / F.col("_scale"), "_b": F.col("_b") / F.col("_scale")})
 
     def log_factor(t: Column) -> Column:
         """log(p e^-at + q e^-bt), with the smaller exponent taken out front."""
         low = F.least("_a", "_b")
-        inner = F.col("_p") * F.exp((low - F.col("_a")) * t) + F.col("_q") * F.exp((low - F.col("_b")) * t)
+        gap = F.exp(-F.abs(F.col("_a") - F.col("_b")) * t)
+        inner = F.when(F.col("_a") <= F.col("_b"), F.col("_p") + F.col("_q") * gap).otherwise(F.col("_p") * gap + F.col("_q"))
         return F.log(F.greatest(inner, F.lit(1e-300))) - low * t
 
-    placed = rows.join(span, g)
-    nodes = placed.withColumn("_x", F.explode(F.sequence("_from", "_to")))
+    first = F.lit(int(NODE_LOW / STEP))
+    t, weight = _node(F.col("_x"))
+    nodes = placed.select(*g, "_a", "_b", "_p", "_q", F.explode(F.sequence(first, "_to")).alias("_x"))
     logs = (
         nodes.groupBy(*g, "_x")
-        .agg(F.sum(log_factor(F.exp(F.col("_x") * STEP))).alias("_l"))
+        .agg(F.sum(log_factor(t)).alias("_l"))
         .groupBy(*g)
         .agg(F.collect_list(F.struct("_x", "_l")).alias("_nodes"))
     )
-    both = placed.join(logs, g)
-    own_dead = dead
     others_dead = F.when(
-        F.col("_safe") - F.when(own_dead > 0, 0).otherwise(1) == 0,
-        F.exp(F.col("_dead_log") - F.when(own_dead > 0, F.log(own_dead)).otherwise(0.0)),
+        F.col("_safe") - F.when(dead > 0, 0).otherwise(1) == 0,
+        F.exp(F.col("_dead_log") - F.when(dead > 0, F.log(dead)).otherwise(0.0)),
     ).otherwise(0.0)
+    # every game meets the node list of its group again and sums it up in the same task
+    again = placed.join(logs, g).withColumn("_gone", others_dead).select(
+        *g, game, "_ta", "_tb", "_a", "_b", "_p", "_q", "_scale", "_gone", F.explode("_nodes").alias("_n")
+    )
+    again = again.select("*", F.col("_n._x").alias("_x"), F.col("_n._l").alias("_l"))
 
     def value(win: str, pick: str) -> Column:
-        gone = F.when(F.col(pick) == 0, others_dead).otherwise(0.0)
-
-        def add(acc: Column, n: Column) -> Column:
-            t = F.exp(n["_x"] * STEP)
-            others = F.exp(n["_l"] - log_factor(t) - F.col(pick) * t)
-            return acc + t * (others - gone)
-
-        return F.col(win) * F.lit(STEP) * F.aggregate("_nodes", F.lit(0.0), add)
+        gone = F.when(F.col(pick) == 0, F.col("_gone")).otherwise(0.0)
+        alone = F.exp(F.col("_l") - log_factor(t) - F.col(pick) * t)
+        return F.sum(weight * (alone - gone)) * F.first(F.col(win) / F.col("_scale"))
 
-    valued = both.select(*g, game, "_ta", "_tb", value("_p", "_a").alias("_ea"), value("_q", "_b").alias("_eb"))
+    valued = again.groupBy(*g, game, "_ta", "_tb").agg(value("_p", "_a").alias("_ea"), value("_q", "_b").alias("_eb"))
     return to_team_long(valued, [*g, game], {"team": ("_ta", "_tb"), "ev": ("_ea", "_eb")}).select(*g, game, "team", "ev")
 
 
@@ -121,10 +130,8 @@ def scenario_ev_pairs(
     return to_team_long(valued, [*g, game], {"team": (team_a, team_b), "ev": ("_ea", "_eb")}).select(*g, game, "team", "ev")
 
 
-def hash_uniform(*parts: Column | str) -> Column:
-    """A number in [0, 1) from the md5 of the parts; any engine can reproduce it."""
-    text = F.md5(F.concat_ws("-", *parts))
-    return F.conv(F.substring(text, 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
+# hex digits of the md5 that make one uniform number: 13 digits are 52 bits
+HEX_DIGITS = 13
 
 
 def outcome_trials(
@@ -132,19 +139,24 @@ def outcome_trials(
 ) -> DataFrame:
     """Share of the pool alive after each week, per trial.
 
-    Every (trial, game) gets one winner; a week keeps the pick shares on winners (picks are
+    Every (trial, game) gets one winner from md5("trial-game-seed"), which any engine can
+    reproduce; a week keeps the pick shares on winners (picks are
     shares of the week's total). Trials are spread by a generated array and summed map-side,
     so only (trial, pool, week) sums are shuffled.
     """
     k = list(pools)
     a, b = F.coalesce(pick_a, F.lit(0.0)), F.coalesce(pick_b, F.lit(0.0))
-    spread = games.where(not_null([*k, week, game])).select(
-        *k, week, game, F.coalesce(p, F.lit(0.5)).alias("_p"), a.alias("_a"), b.alias("_b"),
+    chance = F.coalesce(p, F.lit(0.5))
+    bound = F.lpad(F.lower(F.hex(F.ceil(chance * F.lit(float(16**HEX_DIGITS))))), HEX_DIGITS, "0")
+    drawn = spread(games.where(not_null([*k, week, game])), game).select(
+        *k, week, F.col(game).cast("string").alias("_game"), chance.alias("_p"), bound.alias("_bound"), a.alias("_a"), b.alias("_b"),
         F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"),
     )
-    first = hash_uniform(F.col("trial").cast("string"), F.col(game).cast("string"), F.lit(str(seed))) < F.col("_p")
+    # uniform < p, compared as fixed-width hex digits: the bound is made once per game
+    digits = F.substring(F.md5(F.concat_ws("-", F.col("trial").cast("string"), F.col("_game"), F.lit(str(seed)))), 1, HEX_DIGITS)
+    first = (F.col("_p") >= 1) | (digits < F.col("_bound"))
     kept = (
-        spread.groupBy("trial", *k, week)
+        drawn.groupBy("trial", *k, week)
         .agg(F.sum(F.when(first, F.col("_a")).otherwise(F.col("_b"))).alias("_kept"), F.sum(F.col("_a") + F.col("_b")).alias("_all"))
         .where(F.col("_all") > 0)
     )

@@ -161,3 +161,11 @@ def over_cells(
 
 def cell_order(keys: Sequence[str], order: Column | str):
     return Window.partitionBy(*keys).orderBy(order)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Distribute rows over all tasks before a step that does much work per row.
+
+    The count is explicit, so AQE does not merge small inputs back into one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
