@@ -282,7 +282,7 @@ def rollup_path(df: DataFrame, keys: Sequence[str], pick: str, order: str, produ
 
     Groups are the one to three picks of one week of one path, so the list is short.
     """
-    listed = F.transform(F.array_sort(F.collect_list(F.struct(order, pick))), lambda s: s[pick])
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(pick).alias("p")))), lambda s: s["p"])
     return df.groupBy(*keys).agg(listed.alias("picks"), *[F.product(c).alias(n) for n, c in products.items()])
 
 

@@ -136,7 +136,8 @@ def redistribute(df: DataFrame, keys: Sequence[str], x: str, cap: str, iteration
     grows by one join per pass.
     """
     k = list(keys)
-    rows = df.where(not_null(k)).select(*k, F.col(x).alias("_x"), F.coalesce(cap, F.lit(0.0)).alias("_cap"))
+    # read once per pass
+    rows = cut_lineage(df.where(not_null(k)).select(*k, F.col(x).alias("_x"), F.coalesce(cap, F.lit(0.0)).alias("_cap")))
 
     def replay(start: Column, limit: Column, factors: Column) -> Column:
         return F.aggregate(factors, start, lambda v, f: F.when(v > limit, limit).otherwise(v * f))

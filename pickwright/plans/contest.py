@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pickwright.operators import aggregates as A
 from pickwright.operators import joins, rows, scenarios, sets, windows
+from pickwright.session import cut_lineage
 
 WEEK = ["year", "week"]
 
@@ -32,17 +33,17 @@ def pick_features(picks: DataFrame, horizon: int | None = 18) -> DataFrame:
     is_away, day.
     """
     df = rows.calendar_flags(picks, "day", "is_away", "win_pct")
-    for c in ("win_pct", "future_value"):
-        df = _week_relative(df, c)
+    df = _week_relative(df, ["win_pct", "future_value"])
     df = windows.future_scarcity(df, ["year", "team"], "week", "win_pct", "win_pct_is_top", horizon)
-    for c in ("future_top", "future_over_80", "future_70_80", "future_60_70", "availability"):
-        df = _week_relative(df, c)
-    return df
+    return _week_relative(df, ["future_top", "future_over_80", "future_70_80", "future_60_70", "availability"])
 
 
-def _week_relative(df: DataFrame, col: str) -> DataFrame:
-    df = windows.group_stats(df, WEEK, [col])
-    return windows.rank_density(windows.relative_stats(df, WEEK, [col]), WEEK, col)
+def _week_relative(df: DataFrame, cols: list[str]) -> DataFrame:
+    """All columns share one aggregation; ranks are cut one by one, as each reads its input again."""
+    df = cut_lineage(windows.relative_stats(windows.group_stats(df, WEEK, cols), WEEK, cols))
+    for c in cols:
+        df = cut_lineage(windows.rank_density(df, WEEK, c))
+    return df
 
 
 def entry_flow(entries_wide: DataFrame, week_cols: list[str], grid: DataFrame, pools: DataFrame) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Schedule, ratings and prices to one feature row per game side."""
+"""Schedule, ratings and prices to one feature row per game side.
+
+Most operators read their input twice (a summary, and the join of it back to the rows), so
+a chain of them doubles its plan per step. Every stage below therefore ends in a checkpoint.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,7 @@ from pyspark.sql import functions as F
 from pickwright.functions import calendar, geo, odds, rating
 from pickwright.operators import joins, rows, windows
 from pickwright.operators.iterative import impute_spread
+from pickwright.session import cut_lineage
 
 TEAM = ["season", "team"]
 
@@ -24,13 +29,13 @@ def schedule_sides(schedule: DataFrame, teams: DataFrame, venues: DataFrame, cut
     last = schedule.groupBy("season").agg(F.max("week").alias("last_week"))
     shared = ["game_id", "season", "week", "day", "kickoff", "venue", "venue_lat", "venue_lon", "venue_tz"]
     long = rows.to_team_long(placed, shared, {"team": ("home_team", "away_team")}).join(last, "season")
+    long = cut_lineage(windows.neighbors(cut_lineage(long), TEAM, "day", "game_id", "week", "opp_team", "venue", "last_week"))
     long = windows.rest_days(long, TEAM, "day", "game_id", default=0)
+    long = cut_lineage(windows.prev_value(long, TEAM, "day", "game_id", "venue_tz", "previous_tz"))
     long = windows.opponent_rest(long, "game_id", "team", "opp_team")
-    long = windows.running_advantage(long, TEAM, "day", "rest_adv")
-    long = windows.neighbors(long, TEAM, "day", "game_id", "week", "opp_team", "venue", "last_week")
-    long = windows.prev_value(long, TEAM, "day", "game_id", "venue_tz", "previous_tz")
+    long = cut_lineage(windows.running_advantage(long, TEAM, "day", "rest_adv"))
     long = windows.count_in_days(long, TEAM, "day", {"three_in_10": (10, 3), "four_in_17": (17, 4)})
-    long = windows.back_to_back(long, TEAM, "day", "game_id", "week", "is_away")
+    long = cut_lineage(windows.back_to_back(long, TEAM, "day", "game_id", "week", "is_away"))
     long = joins.lookup_sides(long, teams, "team", ["stadium", "lat", "lon", "tz", "division"], "team", "opp_team")
     # lookup_sides names the two roles home_ and away_; here they are own and opponent
     own = {c: c.replace("home_", "own_", 1) for c in long.columns if c.startswith("home_")}
@@ -52,7 +57,7 @@ def schedule_sides(schedule: DataFrame, teams: DataFrame, venues: DataFrame, cut
     )
     other = long.select("game_id", c("team").alias("opp_team"), c("zone_change").alias("opp_zone_change"), c("travel_adv").alias("opp_travel_adv"))
     long = long.join(other, ["game_id", "opp_team"], "left")
-    return long.withColumn("zone_adv", geo.zone_advantage(c("zone_change"), c("opp_zone_change")))
+    return cut_lineage(long.withColumn("zone_adv", geo.zone_advantage(c("zone_change"), c("opp_zone_change"))))
 
 
 def rated_sides(sides: DataFrame, ratings: DataFrame, name: str, params: rating.AdjustmentParams = rating.CURRENT) -> DataFrame:
@@ -70,9 +75,9 @@ def rated_sides(sides: DataFrame, ratings: DataFrame, name: str, params: rating.
         )
 
     df = df.withColumn(f"{name}_adjusted", F.when(c("is_away"), adjust(False)).otherwise(adjust(True))).drop("home_points", "away_points")
-    return joins.opponent_value(
-        joins.opponent_value(df, ["game_id"], "team", "opp_team", f"{name}_adjusted"), ["game_id"], "team", "opp_team", f"{name}_rating"
-    ).withColumns(
+    df = joins.opponent_value(df, ["game_id"], "team", "opp_team", f"{name}_adjusted")
+    df = joins.opponent_value(df, ["game_id"], "team", "opp_team", f"{name}_rating")
+    return cut_lineage(df).withColumns(
         {
             f"{name}_edge": c(f"{name}_rating") - c(f"opponent_{name}_rating"),
             f"{name}_adjusted_edge": c(f"{name}_adjusted") - c(f"opponent_{name}_adjusted"),
@@ -112,8 +117,8 @@ def priced_sides(sides: DataFrame, book: DataFrame, sources: list[str]) -> DataF
     }
     df = rows.coalesce_sources(df, favorites, "favorite", "favorite_source")
     df = df.withColumn("win_adv", odds.win_advantage(c("win")))
-    df = windows.future_mean(df, TEAM, "week", "win_adv", out="outlook")
-    return windows.minmax_stars(df, ["season", "week"], "outlook")
+    df = windows.future_mean(cut_lineage(df), TEAM, "week", "win_adv", out="outlook")
+    return cut_lineage(windows.minmax_stars(df, ["season", "week"], "outlook"))
 
 
 def holiday_sides(sides: DataFrame, holidays: dict[str, int]) -> DataFrame:

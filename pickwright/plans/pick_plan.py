@@ -34,7 +34,7 @@ def project_picks(
         df = sides.where(F.col("week") == w).join(size, k).join(used.select(*k, "team", "used"), [*k, "team"], "left")
         free = (F.col("entries") - F.coalesce("used", F.lit(0.0))) / F.col("entries")
         df = df.withColumn("availability", F.when(F.col("entries") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), free))).otherwise(0.0))
-        df = windows.normalize(predict(df), k, "pick_pct", target)
+        df = windows.normalize(cut_lineage(predict(df)), k, "pick_pct", target)
         df = redistribute(df, k, "pick_pct", "availability", passes)
         if overrides is not None:
             df = rows.apply_overrides(df, overrides, [*k, "week", "team"], "pick_pct")
