@@ -71,7 +71,12 @@ def running_totals(
         *[F.sum(n).alias(f"{n}_total") for n in names],
     )
     width = F.col("_hi") - F.col("_lo")
-    binned = cells.join(span, group).withColumn(
+    if keys:
+        spanned = cells.join(span, group)
+    else:
+        # one row for the whole table: scalar subqueries instead of a join on a constant
+        spanned = cells.withColumns({c: span.select(c).scalar() for c in span.columns if c != "_all"})
+    binned = spanned.withColumn(
         "_bin",
         F.when(width > 0, F.floor((F.col("_x") - F.col("_lo")) / width * F.col("_bins"))).otherwise(F.lit(0)).cast("long"),
     )
@@ -125,7 +130,7 @@ def neighbor(
     )
 
 
-def day_chunk(col: str, days: int = 28) -> Column:
+def day_chunk(col: str, days: int = 7) -> Column:
     return F.floor(F.unix_date(F.col(col)) / days)
 
 
