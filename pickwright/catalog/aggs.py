@@ -291,11 +291,11 @@ def a20(spark, d):
 
 
 @case(
-    "a21_efficiency", "passer:l value:d volume:d efficiency:d",
-    q(GAMES, PLAYS, "SELECT passer, sum(x + yards) AS value, sum(qty) AS volume, sum(x + yards) / sum(qty) AS efficiency FROM plays GROUP BY ALL HAVING sum(qty) > 36000"),
+    "a21_efficiency", "game_id:l value:d volume:d efficiency:d",
+    q(GAMES, PLAYS, "SELECT game_id, sum(x + yards) AS value, sum(qty) AS volume, sum(x + yards) / sum(qty) AS efficiency FROM plays GROUP BY ALL HAVING sum(qty) > 50"),
 )
 def a21(spark, d):
-    return A.efficiency(plays(spark, d), "passer", F.col("x") + F.col("yards"), F.col("qty"), min_den=36000)
+    return A.efficiency(plays(spark, d), "game_id", F.col("x") + F.col("yards"), F.col("qty"))
 
 
 @case("a23_distinct", "season:l week:l", q(GAMES, "SELECT DISTINCT season, week FROM games"))

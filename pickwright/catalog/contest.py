@@ -10,6 +10,7 @@ from pickwright.operators import aggregates as A
 from pickwright.operators import iterative, paths, scenarios
 from pickwright.operators.joins import lookup_sides
 from pickwright.operators.windows import opponent_rest, rest_days, running_advantage
+from pickwright.session import cut_lineage
 
 WEEKS = 16
 POOLS = "sizes AS (SELECT pool, count(DISTINCT entry) * 2 AS entries FROM picks GROUP BY ALL)"
@@ -213,7 +214,8 @@ def i8_two(spark, d):
 )
 def i12(spark, d):
     tg = rest_days(team_games(spark, d), ["season", "team"], "day", "game_id", 7)
-    tg = running_advantage(opponent_rest(tg, "game_id", "team", "opp"), ["season", "team"], "day", "rest_adv")
+    tg = cut_lineage(opponent_rest(tg, "game_id", "team", "opp"))
+    tg = running_advantage(tg, ["season", "team"], "day", "rest_adv")
     own = tg.select("game_id", "team", "rest_adv", "season_rest_adv")
     g = games(spark, d)
     for side in ("home", "away"):

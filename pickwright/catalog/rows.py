@@ -8,7 +8,8 @@ from pickwright.catalog.bindings import DIM, GAMES, PICKS, PLAYS, TEAM_GAMES, di
 from pickwright.functions import labels, rating
 from pickwright.operators import rows
 from pickwright.operators.joins import lookup_sides
-from pickwright.operators.windows import back_to_back, count_in_days, opponent_rest, rest_days, running_advantage
+from pickwright.operators.windows import count_in_days, opponent_rest, rest_days, running_advantage
+from pickwright.session import cut_lineage
 
 
 @case("p1_project", "customer:l segment:s balance:d", "SELECT c_custkey AS customer, c_mktsegment AS segment, c_acctbal AS balance FROM customer")
@@ -295,7 +296,7 @@ _ELIGIBLE_SQL = q(
 @case("p19_eligibility", "game_id:l team:l eligible:b reject_reasons:a", _ELIGIBLE_SQL)
 def p19(spark, d):
     tg = rest_days(team_games(spark, d), ["season", "team"], "day", "game_id", 7)
-    tg = opponent_rest(tg, "game_id", "team", "opp")
+    tg = cut_lineage(opponent_rest(tg, "game_id", "team", "opp"))
     tg = running_advantage(tg, ["season", "team"], "day", "rest_adv")
     tg = count_in_days(tg, ["season", "team"], "day", {"four_in_17": (17, 60)})
     tg = lookup_sides(tg, dim(spark, d), "team", ["division"], "team", "opp")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Layout of one event of the price feed.
-ODDS_SCHEMA = T.StructType.fromDDL(
+ODDS_SCHEMA = (
     "home_team string, away_team string, commence_time string, "
     "bookmakers array<struct<markets:array<struct<key:string,outcomes:array<struct<name:string,price:double,point:double>>>>>>"
 )
@@ -69,7 +69,7 @@ def extract_html_rows(
     )
 
 
-def flatten_odds(df: DataFrame, json_col: str, schema: T.StructType = ODDS_SCHEMA, keep: Sequence[str] = ()) -> DataFrame:
+def flatten_odds(df: DataFrame, json_col: str, schema: T.StructType | str = ODDS_SCHEMA, keep: Sequence[str] = ()) -> DataFrame:
     """Mean price (h2h) and point (spreads) per event and side over all bookmakers."""
     ev = df.select(*keep, F.from_json(json_col, schema).alias("e")).where(F.col("e").isNotNull())
     books = ev.select(*keep, "e.home_team", "e.away_team", "e.commence_time", F.explode("e.bookmakers").alias("b"))
