@@ -17,6 +17,8 @@ class Case:
     sql: str | None
 
     def spark(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        # the tables hold times without a zone; both engines read them as UTC
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         return self.fn(spark, sf_dir).select(*[_spark_col(c) for c in self.cols.split()])
 
     def oracle(self) -> str | None:

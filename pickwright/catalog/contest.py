@@ -109,16 +109,22 @@ def week_games(spark, d):
     return g.join(total, ["season", "week"]).withColumns({"ka": F.col("ra") / F.col("t"), "kb": F.col("rb") / F.col("t")})
 
 
-# the same integral on one wide, fixed grid of nodes for all weeks
+# the same integral on exponential nodes, one wide and fixed grid for all weeks; the outcomes
+# that leave nobody alive (all winners without a share) are taken out, as they count 0
 _LF = "ln(greatest(p * exp((least(ka, kb) - ka) * t) + (1 - p) * exp((least(ka, kb) - kb) * t), 1e-300)) - least(ka, kb) * t"
+_DEAD = "CASE WHEN ka = 0 THEN p ELSE 0 END + CASE WHEN kb = 0 THEN 1 - p ELSE 0 END"
+_GONE = "CASE WHEN safe - CASE WHEN dead = 0 THEN 1 ELSE 0 END = 0 THEN exp(dl - CASE WHEN dead > 0 THEN ln(dead) ELSE 0 END) ELSE 0 END"
 
 
 @case(
-    "i4_scenario_ev_weeks", "season:l week:l game_id:l team:s ev:d",
-    q(GAMES, WEEK_GAMES, "nodes AS (SELECT exp(x * CAST(0.25 AS DOUBLE)) AS t FROM range(-180, 100) r(x))",
-      f"lf AS (SELECT wg.*, t, {_LF} AS l FROM wg, nodes)",
+    "i4_scenario_ev_weeks", "season:l week:l game_id:l team:s ev:d8",
+    q(GAMES, WEEK_GAMES, "nodes AS (SELECT exp(x * CAST(0.25 AS DOUBLE)) AS t FROM range(-180, 60) r(x))",
+      f"wd AS (SELECT *, {_DEAD} AS dead FROM wg)",
+      "gd AS (SELECT season, week, count(*) FILTER (dead = 0) AS safe, sum(CASE WHEN dead > 0 THEN ln(dead) ELSE 0 END) AS dl FROM wd GROUP BY ALL)",
+      f"lf AS (SELECT wd.*, {_GONE} AS gone, t, {_LF} AS l FROM wd JOIN gd USING (season, week), nodes)",
       "tot AS (SELECT season, week, t, sum(l) AS l FROM lf GROUP BY ALL)",
-      """ev AS (SELECT season, week, game_id, a, b, sum(t * 0.25 * p * exp(tot.l - lf.l - ka * t)) AS ea, sum(t * 0.25 * (1 - p) * exp(tot.l - lf.l - kb * t)) AS eb
+      """ev AS (SELECT season, week, game_id, a, b, sum(t * 0.25 * p * (exp(tot.l - lf.l - ka * t) - CASE WHEN ka = 0 THEN gone ELSE 0 END)) AS ea,
+         sum(t * 0.25 * (1 - p) * (exp(tot.l - lf.l - kb * t) - CASE WHEN kb = 0 THEN gone ELSE 0 END)) AS eb
          FROM lf JOIN tot USING (season, week, t) GROUP BY ALL)""",
       "SELECT season, week, game_id, a AS team, ea AS ev FROM ev UNION ALL SELECT season, week, game_id, b, eb FROM ev"),
 )
