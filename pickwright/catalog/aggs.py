@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from pickwright import constants as K
 from pickwright.catalog.base import case, q
-from pickwright.catalog.bindings import DIM, GAMES, PICKS, PLAYS, TEAM_GAMES, dim, games, picks, plays, table, team_games
+from pickwright.catalog.bindings import DIM, GAMES, PLAYS, TEAM_GAMES, dim, games, plays, table, team_games
 from pickwright.catalog.joins import EDGES, edges
 from pickwright.catalog.rows import FAN_SQL, fan_predicates
 from pickwright.functions import rating

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from pickwright.catalog.base import case, q
-from pickwright.catalog.bindings import DIM, GAMES, dim, games, plays, table, PLAYS
+from pickwright.catalog.bindings import DIM, GAMES, PLAYS, dim, games, table
 from pickwright.catalog.joins import PRICED, PRICES_SQL, edges, EDGES, priced
 from pickwright.functions import calendar, geo, labels, odds, rating, text
 from pickwright.operators.aggregates import current_week

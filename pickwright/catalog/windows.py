@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from pickwright.catalog.base import case, q
-from pickwright.catalog.bindings import GAMES, PICKS, PLAYS, TEAM_GAMES, picks, plays, table, team_games
+from pickwright.catalog.bindings import GAMES, PICKS, TEAM_GAMES, picks, table, team_games
 from pickwright.operators import windows
 
 KEYS = ["season", "team"]

@@ -110,7 +110,6 @@ def neighbor(
     lag runs per piece, and the first row of a piece takes the last row of the
     piece before it from a small edge table.
     """
-    # the edge rows carry the current row's names, so every field is its own alias
     row = F.struct(*[F.col(s).alias(n) for n, s in cols.items()])
     rank = F.struct(*order)
     tagged = df.withColumn("_chunk", chunk)
