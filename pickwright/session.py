@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "pickwright", master: str | None = None, partitions: int | None = None) -> SparkSession:
+def build_session(app: str = "pickwright", master: str | None = None, partitions: int | None = None, scratch: str | None = None) -> SparkSession:
+    """A session with the library's settings. ``scratch``: any Hadoop URL that driver and executors share."""
     b = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
@@ -22,25 +22,18 @@ def build_session(app: str = "pickwright", master: str | None = None, partitions
         b = b.master(master)
     if partitions:
         b = b.config("spark.sql.shuffle.partitions", str(partitions))
+    if scratch:
+        b = b.config("spark.checkpoint.dir", scratch)
     return b.getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, from ``spark.checkpoint.dir``.
+    """The folder every executor can reach: ``spark.checkpoint.dir``, and where that is unset a folder in the warehouse.
 
-    Only a local-mode session may go without that setting: it then gets a
-    temporary folder, because driver and executors are the same machine.
+    Both are Hadoop paths that the session's settings name; the master URL plays no part.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    made = getattr(spark, "_pickwright_dir", None)
-    if made is None:
-        made = tempfile.mkdtemp(prefix="pickwright-")
-        spark._pickwright_dir = made
-    return made
+    return configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/pickwright-scratch"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -48,9 +41,9 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint: the result survives the loss of any executor."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    return df.checkpoint(eager=eager)

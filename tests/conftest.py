@@ -8,10 +8,11 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from pickwright.session import build_session
 
-    s = build_session("tests", master="local[8]", partitions=4)
+    scratch = tmp_path_factory.mktemp("scratch")
+    s = build_session("tests", master="local[8]", partitions=4, scratch=scratch.as_uri())
     s.sparkContext.setLogLevel("ERROR")
     return s
 
