@@ -63,3 +63,9 @@ def row_key(doc_id: str, text: str) -> list[Column]:
     """Columns that tell documents apart: rows with equal id and text are one document and get one result."""
     return [F.col(doc_id).alias("__id"), F.xxhash64(F.col(text)).alias("__h")]
 
+
+
+def bound(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once per row, however often and inside whichever lambda they are used."""
+    made = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in columns], F.inline(F.array(made)))
