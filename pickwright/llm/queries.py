@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pickwright.llm import bpe, decontam, line_dedup, simhash, token_counts
+from pickwright.llm import bpe, decontam, line_dedup, pii, simhash, token_counts
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +44,13 @@ def op5_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_docs(spark, sf_dir), _vocabulary("word_bpe_49k.json"), ["doc_id"])
 
 
+def op6_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.private_spans(_docs(spark, sf_dir))
+    counts = [F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.PATTERNS]
+    spans = F.concat("base", "terms")
+    return found.select("doc_id", *counts, F.sha2(pii.joined_spans(F.col("base")), 256).alias("base_sha256"), pii.joined_spans(spans).alias("spans"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_docs(spark, sf_dir))
 
@@ -70,5 +77,5 @@ FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN it ON d.doc_id = it.doc_
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op5_bpe_roundtrip, op8_simhash, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op5_bpe_roundtrip, op6_private_data, op8_simhash, op10_decontamination)}
 ORACLES = {"op1_line_dedup": OP1_SQL, "op10_decontamination": OP10_SQL}
