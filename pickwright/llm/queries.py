@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pickwright.llm import bpe, decontam, line_dedup, pii, simhash, token_counts
+from pickwright.llm import bpe, decontam, line_dedup, pii, secret_scan, simhash, token_counts
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,15 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_docs(spark, sf_dir))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(_docs(spark, sf_dir))
+    base = [r.kind for r in secret_scan.RULES]
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+    counts = [F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
+    own = F.filter("found", lambda s: s["kind"].isin(base))
+    return found.select("doc_id", *counts, F.sha2(joined(own), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     items = F.sha2(F.array_join("items", ","), 256)
@@ -77,5 +86,5 @@ FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN it ON d.doc_id = it.doc_
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op5_bpe_roundtrip, op6_private_data, op8_simhash, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op5_bpe_roundtrip, op6_private_data, op8_simhash, op9_secrets, op10_decontamination)}
 ORACLES = {"op1_line_dedup": OP1_SQL, "op10_decontamination": OP10_SQL}
