@@ -90,26 +90,28 @@ class Index:
         found = meet(self.index, self.windows, slop)
         return found.distinct().select(F.col("__id").alias("doc_id"), "start", "off_by", "phrase", "items")
 
-    def exact(self) -> DataFrame:
-        """All rows of the documents: ``doc_id``, ``n_words``, ``n_hit``, ``items`` (sorted), and ``spans`` of hit windows (start, n, phrase)."""
+    def exact(self, keep: list[str] | None = None) -> DataFrame:
+        """All rows of the documents: ``doc_id`` (or the columns ``keep``), ``n_words``, ``n_hit``, ``items`` (sorted), and ``spans`` of hit windows (start, n, phrase)."""
         place = F.struct("start", "n", "phrase", "items")
         by_doc = meet(self.index, self.windows).groupBy("__id", "__h").agg(F.collect_set(place).alias("__places"))
         by_doc = broadcast_if(stored(by_doc.select(F.col("__id").alias("__cid"), F.col("__h").alias("__ch"), "__places"), "places"), BROADCAST_ROWS // 10)
-        own = self.docs.select(F.col(self.doc_id).alias("doc_id"), *row_key(self.doc_id, self.text), words(self.text).alias("__w"))
+        ids = [F.col(c) for c in keep] if keep else [F.col(self.doc_id).alias("doc_id")]
+        keep = keep or ["doc_id"]
+        own = self.docs.select(*ids, *row_key(self.doc_id, self.text), words(self.text).alias("__w"))
         joined = own.join(by_doc, own["__id"].eqNullSafe(by_doc["__cid"]) & (own["__h"] == by_doc["__ch"]), "left")
         equal = F.filter("__places", lambda p: F.array_join(F.slice("__w", p["start"] + 1, p["n"]), " ") == p["phrase"])
         n_words = F.when(F.col("__w").isNull(), 0).otherwise(F.size("__w")).cast("long")
-        seen = bound(joined.select("doc_id", n_words.alias("n_words"), F.when(F.col("__places").isNotNull(), equal).alias("spans")), spans=F.coalesce("spans", F.array().cast("array<struct<start:int,n:int,phrase:string,items:array<string>>>")))
+        seen = bound(joined.select(*keep, n_words.alias("n_words"), F.when(F.col("__places").isNotNull(), equal).alias("spans")), spans=F.coalesce("spans", F.array().cast("array<struct<start:int,n:int,phrase:string,items:array<string>>>")))
         hit = F.array_distinct(F.flatten(F.transform("spans", lambda p: F.sequence(p["start"], p["start"] + p["n"] - 1))))
         items = F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda p: p["items"]))))
-        return seen.select("doc_id", "n_words", F.size(hit).cast("long").alias("n_hit"), items.alias("items"), F.transform("spans", lambda p: p.dropFields("items")).alias("spans"))
+        return seen.select(*keep, "n_words", F.size(hit).cast("long").alias("n_hit"), items.alias("items"), F.transform("spans", lambda p: p.dropFields("items")).alias("spans"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, keep: list[str] | None = None) -> DataFrame:
     """One row per row of ``docs``: the columns of ``Index.exact`` and ``contaminated`` (n_hit > 0).
 
     Null, empty and wordless texts have no words and no hits. Null ids are values like
     any other, repeated rows give repeated results, an empty table on either side gives
     no hits; other columns are ignored.
     """
-    return Index(docs, benchmark, doc_id, text, item_id, item_text, span).exact().withColumn("contaminated", F.col("n_hit") > 0)
+    return Index(docs, benchmark, doc_id, text, item_id, item_text, span).exact(keep).withColumn("contaminated", F.col("n_hit") > 0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pickwright.llm import bpe, decontam, line_dedup, pii, secret_scan, simhash, token_counts
+from pickwright.llm import bpe, decontam, language, line_dedup, pii, quality, secret_scan, simhash, token_counts
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,14 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_docs(spark, sf_dir), _vocabulary("byte_bpe_50k.json"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_docs(spark, sf_dir))
+
+
 def op5_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_docs(spark, sf_dir), _vocabulary("word_bpe_49k.json"), ["doc_id"])
 
@@ -86,5 +94,5 @@ FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN it ON d.doc_id = it.doc_
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op5_bpe_roundtrip, op6_private_data, op8_simhash, op9_secrets, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_quality, op4_language, op5_bpe_roundtrip, op6_private_data, op8_simhash, op9_secrets, op10_decontamination)}
 ORACLES = {"op1_line_dedup": OP1_SQL, "op10_decontamination": OP10_SQL}

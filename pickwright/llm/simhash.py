@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pickwright.llm.common import map_texts, stored
+from pickwright.llm.common import map_texts, row_key, stored
 from pickwright.llm.components import components
 
 SLICE = 1 << 15
@@ -109,6 +109,17 @@ def links(fps: DataFrame, distance: int = 3, hot: int = 256) -> DataFrame:
     return pairs
 
 
+def _grouped(docs: DataFrame, doc_id: str, text: str, shingle: int, distance: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """(__id, __h, fp) of every row, and for each fingerprint (__fp) its group (__root) and the group's least id."""
+    own = docs.select(*row_key(doc_id, text), F.col(text).alias("__t"))
+    fps = stored(map_texts(own, ["__id", "__h"], "__t", "fp bigint", lambda texts: {"fp": [fingerprint(t, shingle) for t in texts]}), "fingerprints")
+    distinct = stored(fps.groupBy("fp").agg(F.min("__id").alias("first")), "distinct-fingerprints")
+    roots = components(links(distinct.select("fp"), distance, hot))
+    named = stored(distinct.join(roots, distinct["fp"] == roots["node"], "left").select(F.col("fp").alias("__fp"), "first", F.coalesce("root", "fp").alias("__root")), "groups")
+    best = named.groupBy(F.col("__root").alias("__r")).agg(F.min("first").alias("component_id"))
+    return fps, named.join(best, F.col("__root") == F.col("__r")).select("__fp", "__root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = 3, hot: int = 256) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id``.
 
@@ -117,11 +128,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     are named by the others; the id is null if no member has one. Repeated rows are
     kept; an empty table gives an empty result; other columns are ignored.
     """
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__t"))
-    fps = stored(map_texts(own, ["doc_id"], "__t", "fp bigint", lambda texts: {"fp": [fingerprint(t, shingle) for t in texts]}), "fingerprints")
-    distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    roots = components(links(distinct.select("fp"), distance, hot))
-    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    best = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_fp = named.select(F.col("fp").alias("__fp"), F.col("root").alias("__root")).join(best, F.col("__root") == best["root"]).select("__fp", "component_id")
-    return fps.join(of_fp, fps["fp"] == of_fp["__fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    fps, groups = _grouped(docs, doc_id, text, shingle, distance, hot)
+    return fps.join(groups, F.col("fp") == F.col("__fp")).select(F.col("__id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = 3, hot: int = 256) -> DataFrame:
+    """One row of ``docs`` for each near-duplicate group: that of the least id, null ids last, ties by a hash of the text."""
+    fps, groups = _grouped(docs, doc_id, text, shingle, distance, hot)
+    order = F.struct(F.col("__id").isNull().alias("n"), F.col("__id").alias("i"), F.col("__h").alias("h"))
+    heads = fps.join(groups, F.col("fp") == F.col("__fp")).groupBy("__root").agg(F.min(order).alias("o")).select(F.col("o")["i"].alias("__hid"), F.col("o")["h"].alias("__hh"))
+    own = docs.select("*", *row_key(doc_id, text))
+    kept = own.join(heads, own["__id"].eqNullSafe(heads["__hid"]) & (own["__h"] == heads["__hh"]), "left_semi")
+    return kept.dropDuplicates(["__id", "__h"]).select(*docs.columns)
