@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pickwright.session import fresh_path
 
@@ -30,13 +32,14 @@ def map_texts(df: DataFrame, keep: list[str], text: str, schema: str, fn: Callab
     """
     plain = df.select(*[F.col(c) for c in keep], F.col(text).alias("__text"))
     fields = plain.select(*keep).schema
-    names = [part.split()[0] for part in schema.split(", ")]
-    out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [schema])
+    made_fields = T._parse_datatype_string(schema)
+    names, kinds = made_fields.names, [to_arrow_type(f.dataType) for f in made_fields]
+    out = T.StructType([*fields, *made_fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = fn(batch.column(len(keep)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(made[n]) for n in names]], names=[*keep, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(made[n], k) for n, k in zip(names, kinds, strict=True)]], names=[*keep, *names])
 
     return plain.mapInArrow(run, out)
 

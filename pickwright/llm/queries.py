@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pickwright.llm import bpe, decontam, language, line_dedup, pii, quality, secret_scan, simhash, token_counts
+from pickwright.llm import bpe, decontam, language, line_dedup, pii, quality, secret_scan, simhash, suffix_dedup, token_counts
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,11 @@ def op6_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.joined_spans(F.col("base")), 256).alias("base_sha256"), pii.joined_spans(spans).alias("spans"))
 
 
+def op7_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_dedup.remove_repeats(_docs(spark, sf_dir))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_docs(spark, sf_dir))
 
@@ -94,5 +99,5 @@ FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN it ON d.doc_id = it.doc_
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_quality, op4_language, op5_bpe_roundtrip, op6_private_data, op8_simhash, op9_secrets, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_quality, op4_language, op5_bpe_roundtrip, op6_private_data, op7_repeated_bytes, op8_simhash, op9_secrets, op10_decontamination)}
 ORACLES = {"op1_line_dedup": OP1_SQL, "op10_decontamination": OP10_SQL}
