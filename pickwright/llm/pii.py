@@ -5,7 +5,7 @@ addresses, card and phone numbers). The corpus then says how much a term gives a
 entity away: over lines, PMI(term; entity) against IC(entity). Where the share
 PMI / IC reaches ``generalise_at`` the term is generalised beside that entity, where it
 reaches ``remove_at`` it is removed. Joint counts are over distinct lines, so copies of
-a document are one witness; counts of a term are over all lines.
+a document are one witness; counts of a term are over all lines, less the copies of joint ones.
 """
 
 from __future__ import annotations
@@ -101,18 +101,20 @@ def disclosures(docs: DataFrame, lines: DataFrame, text: str, min_support: int,
 
     An entity needs ``min_support`` distinct lines, a pair as many joint ones.
     """
-    distinct = lines.select("line", "own").dropDuplicates(["line"])
-    held = distinct.select("line", "own", F.explode(F.array_distinct(F.transform("own", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))).alias("e"))
+    distinct = lines.groupBy("line").agg(F.first("own").alias("own"), F.count("*").alias("copies"))
+    held = distinct.select("line", "own", "copies", F.explode(F.array_distinct(F.transform("own", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))).alias("e"))
     often = held.groupBy("e").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= min_support)
-    pairs = held.join(often, "e").select("e", "n_e", F.explode(_terms(F.col("line"), F.col("own"))).alias("term"))
-    joint = stored(pairs.groupBy("e", "n_e", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= min_support), "joint-counts")
+    pairs = held.join(often, "e").select("e", "n_e", "copies", F.explode(_terms(F.col("line"), F.col("own"))).alias("term"))
+    joint = stored(pairs.groupBy("e", "n_e", "term").agg(F.count("*").alias("n_te"), F.sum("copies").alias("all_te")).where(F.col("n_te") >= min_support), "joint-counts")
     terms = broadcast_if(joint.select("term").distinct(), BROADCAST_ROWS)
     each_line = docs.select(F.explode(F.split(text, "\n")).alias("line"))
     total = stored(docs.agg(F.sum(F.size(F.split(text, "\n")).cast("long")).alias("n")), "line-count")
     each = each_line.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(TERM), F.lit(0)))).alias("__w"))
     seen = each.join(terms, F.col("__w") == F.col("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     n = F.lit(total.first()["n"] or 0)
-    ic, pmi = F.log(n / F.col("n_e")), F.log(F.col("n_te") * n / (F.col("n_e") * F.col("n_t")))
+    # a line of the pair counts once on this side too
+    n_t = F.greatest(F.col("n_t") - F.col("all_te") + F.col("n_te"), F.col("n_te"))
+    ic, pmi = F.log(n / F.col("n_e")), F.log(F.col("n_te") * n / (F.col("n_e") * n_t))
     share = F.when(ic > 0, pmi / ic)
     return joint.join(seen, "term").select(F.col("e")["kind"].alias("kind"), F.col("e")["value"].alias("value"), "term", share.alias("share")).where(F.col("share") >= generalise_at)
 
