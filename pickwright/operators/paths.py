@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pickwright.session import cut_lineage
 
 EPS = 1e-9
+#: Starts the name of the pick that stands for a week without candidates; dropped from the result.
+NO_WEEK = "(no pick) "
+
+# the price function travels with its job, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _slots(weeks: Sequence[int], picks: Mapping[int, int] | None) -> list[tuple[int, int]]:
@@ -24,18 +31,19 @@ def _slot_candidates(
 ) -> DataFrame:
     """Candidates per slot, cut to the ones an answer can contain.
 
-    Among the best (slots + k - 1) teams of a week at least k are unused by the rest of any
+    A team listed more than once in a week counts with its best score. A required team
+    without a candidate in its week is not required. Among the best (slots + k - 1) teams of a week at least k are unused by the rest of any
     path, so a path with a worse team has k better paths and cannot be among the k best.
     """
     base = cands.where(F.col(score).isNotNull()).select(
         *keys, F.col(week).alias("_w"), F.col(team).cast("string").alias("_t"), F.col(score).cast("double").alias("_s")
     )
+    base = base.where(F.col("_w").isin([w for w, _ in slots])).groupBy(*keys, "_w", "_t").agg(F.max("_s").alias("_s"))
+    present = base.select(*keys, "_w").distinct()
     forced = None
     if required is not None:
-        forced = required.select(
-            *keys, F.col(week).alias("_rw"), F.col(team).cast("string").alias("_t"),
-            F.row_number().over(Window.partitionBy(*keys, week).orderBy(team)).alias("_place"),
-        )
+        known = required.select(*keys, F.col(week).alias("_w"), F.col(team).cast("string").alias("_t")).distinct().join(base, [*keys, "_w", "_t"], "left_semi")
+        forced = known.select(*keys, F.col("_w").alias("_rw"), "_t", F.row_number().over(Window.partitionBy(*keys, "_w").orderBy("_t")).alias("_place"))
         base = base.join(forced, [*keys, "_t"], "left").where(F.col("_rw").isNull() | (F.col("_rw") == F.col("_w")))
     else:
         base = base.withColumn("_place", F.lit(None).cast("int"))
@@ -52,9 +60,13 @@ def _slot_candidates(
         lambda s: (s["w"] == F.col("_w"))
         & F.when(F.col("_place").isNotNull(), s["i"] == F.col("_place")).otherwise(s["i"] > taken),
     )
-    return base.select(*keys, "_t", "_s", F.col("_place").isNull().alias("_free"), F.explode(mine).alias("_sl")).select(
+    open_slots = base.select(*keys, "_t", "_s", F.col("_place").isNull().alias("_free"), F.explode(mine).alias("_sl")).select(
         *keys, F.col("_sl.slot").alias("_slot"), "_t", "_s", "_free"
     )
+    # a contest takes the listed weeks that it has: each slot of another week gets one pick without a team
+    wanted = present.select(*keys).distinct().select(*keys, F.explode(spec).alias("_sl")).select(*keys, F.col("_sl.w").alias("_w"), F.col("_sl.slot").alias("_slot"))
+    absent = wanted.join(present, [*keys, "_w"], "left_anti")
+    return open_slots.unionByName(absent.select(*keys, "_slot", F.format_string(f"{NO_WEEK}%09d", "_slot").alias("_t"), F.lit(0.0).alias("_s"), F.lit(False).alias("_free")))
 
 
 def auction(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -69,9 +81,9 @@ def auction(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     span = max(float(pdf["_s"].max() - pdf["_s"].min()), 1e-6)
     eps = span / (2000.0 * len(reward))
     price, owner, waiting = np.zeros(reward.shape[1]), np.full(reward.shape[1], -1), list(range(len(reward)))
-    for _ in range(200_000):
-        if not waiting:
-            break
+    # prices stay under this bound if every slot can hold a team of its own; beyond it the contest has no path
+    highest = 4 * len(reward) * (span + eps)
+    while waiting and price.max() <= highest:
         s = waiting.pop()
         value = reward[s] - price
         t = int(value.argmax())
@@ -92,6 +104,9 @@ def _with_prices(cands: DataFrame, keys: list[str]) -> DataFrame:
 
     def price(pdf: pd.DataFrame) -> pd.DataFrame:
         prices, owner = auction(pdf)
+        if (owner >= 0).sum() <= pdf["_slot"].max():
+            pdf = pdf[:0]  # some slot can't be filled: no path, nothing to search
+            prices, owner = prices[:0], owner[:0]
         by_team = pd.DataFrame({"_t": pdf["_t"].astype("category").cat.categories, "_price": prices, "_owner": owner})
         return pdf[[*keys, "_slot", "_t", "_s", "_free"]].merge(by_team, on="_t")
 
@@ -151,13 +166,13 @@ def best_paths(
     required: DataFrame | None = None,
     cut_every: int = 6,
 ) -> DataFrame:
-    """The k best paths of every contest: (keys, rank, picks, total, exact).
+    """The k best paths of every contest: (keys, rank, picks, total).
 
     ``picks`` gives the weeks with two or three picks, ``required`` (keys, week, team) the
-    forced ones. ``keys`` name the contest. A contest without candidates in a listed week has
-    no path.
+    forced ones. ``keys`` name the contest. A contest plays the listed weeks in which it has
+    candidates; one with fewer teams than picks in some week has no path and no row.
 
-    Exact for any input. Paths are joined with the next slot's candidates level by level, and
+    Paths are joined with the next slot's candidates level by level, and
     a path stays while its bound reaches a total that k known paths have. The bound is
     additive: with a price per team, no path is worth more than (sum of the slots' best
     reduced scores + all prices) minus its own slack.
@@ -185,4 +200,5 @@ def best_paths(
         if n % cut_every == 0:
             paths = cut_lineage(paths)
     ranked = paths.withColumn("rank", F.row_number().over(Window.partitionBy(*ks).orderBy(F.desc("total"), "picks")))
-    return ranked.where(F.col("rank") <= k).select(*ks, "rank", "picks", "total", F.lit(True).alias("exact"))
+    teams = F.filter("picks", lambda t: ~t.startswith(NO_WEEK))
+    return ranked.where(F.col("rank") <= k).select(*ks, "rank", teams.alias("picks"), "total")

@@ -207,7 +207,7 @@ def test_best_paths_match_brute_force(spark, seed, per_week):
     for contest in (1, 2):
         got = [r["total"] for r in sorted((r for r in out if r["contest"] == contest), key=lambda r: r["rank"])]
         assert got == pytest.approx(want[contest])
-    assert all(len(set(r["picks"])) == len(r["picks"]) and r["exact"] for r in out)
+    assert all(len(set(r["picks"])) == len(r["picks"]) for r in out)
 
 
 def test_best_paths_with_required_picks(spark):
@@ -223,6 +223,30 @@ def test_best_paths_with_required_picks(spark):
     assert all(r["picks"][1] == "t0" and "t4" in r["picks"][2:] for r in out)
 
 
+PATH_SCHEMA = "contest int, week int, team string, score double"
+
+
+def test_best_paths_count_a_repeated_team_once(spark):
+    rows = [(1, 1, "A", 9.0)] * 4 + [(1, 1, "B", 8.0), (1, 2, "A", 9.0), (1, 2, "A", 3.0), (1, 2, "B", 1.0)]
+    out = paths.best_paths(spark.createDataFrame(rows, PATH_SCHEMA), ["contest"], "week", "team", "score", [1, 2], k=2).collect()
+    assert sorted((r["rank"], r["picks"], r["total"]) for r in out) == [(1, ["B", "A"], 17.0), (2, ["A", "B"], 10.0)]
+
+
+def test_best_paths_take_the_weeks_that_a_contest_has(spark):
+    rows = [(1, 1, "A", 5.0), (1, 1, "B", 4.0), (1, 3, "A", 5.0), (1, 3, "B", 1.0), (2, 2, "A", 1.0), (2, 2, "B", 2.0), (2, 2, "C", 3.0), (3, 1, "A", 1.0), (3, 2, "A", 1.0)]
+    df = spark.createDataFrame(rows, PATH_SCHEMA)
+    out = paths.best_paths(df, ["contest"], "week", "team", "score", [1, 2, 3], k=1, picks={2: 2}).collect()
+    got = {r["contest"]: (r["picks"], r["total"]) for r in out}
+    assert got == {1: (["B", "A"], 9.0), 2: (["B", "C"], 5.0)}  # contest 3 has one team for three picks: no path
+
+
+def test_best_paths_ignore_a_required_team_that_does_not_play(spark):
+    rows = [(1, 1, "A", 5.0), (1, 1, "B", 4.0), (1, 2, "A", 3.0), (1, 2, "C", 1.0)]
+    need = spark.createDataFrame([(1, 1, "Z"), (1, 2, "C"), (1, 1, "C")], "contest int, week int, team string")
+    out = paths.best_paths(spark.createDataFrame(rows, PATH_SCHEMA), ["contest"], "week", "team", "score", [1, 2], k=1, required=need).collect()
+    assert [(r["picks"], r["total"]) for r in out] == [(["A", "C"], 6.0)]
+
+
 def test_best_paths_of_a_whole_season(spark):
     """18 weeks x 32 teams, checked against the value of an optimal assignment."""
     rnd = np.random.default_rng(5)
