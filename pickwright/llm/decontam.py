@@ -69,9 +69,10 @@ def meet(index: DataFrame, windows: DataFrame, slop: int = 0) -> DataFrame:
     first = first.where("start >= 0")
     other = index.select(F.col("term").alias("__t"), F.col("__id").alias("__pid"), F.col("__h").alias("__ph"), F.col("pos").alias("__p"))
     same = (F.col("t2") == F.col("__t")) & F.col("__id").eqNullSafe(F.col("__pid")) & (F.col("__h") == F.col("__ph"))
-    off = F.col("__p") - F.col("start") - F.col("o2")
-    near = (off == 0) if slop == 0 else (F.abs(off) <= slop)
-    return first.join(other, same & near).select("__id", "__h", "start", off.alias("off_by"), "phrase", "n", "items")
+    # every offset allowed is a join key, so a frequent term's places in one document don't meet pair by pair
+    aimed = first.withColumn("off_by", F.explode(F.sequence(F.lit(-slop), F.lit(slop)))) if slop else first.withColumn("off_by", F.lit(0))
+    place = F.col("start") + F.col("o2") + F.col("off_by")
+    return aimed.join(other, same & (place == F.col("__p"))).select("__id", "__h", "start", "off_by", "phrase", "n", "items")
 
 
 class Index:
