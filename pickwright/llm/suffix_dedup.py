@@ -7,10 +7,14 @@ sampled, so equal windows sample the same place whatever their position.
 
 1. Starts with the same sample form a run. Runs whose sampled gram is unique are done.
 2. A run's whole stretch gets a name; equal names mean that all its starts repeat.
-3. Where a gram has several names, the starts of one run of each name are compared
-   with each other by their own ``span`` bytes, which settles the runs of unique name.
-
-Names are 128-bit hashes, windows 96-bit ones. No two rows of a group are paired.
+3. Where a gram has several names, one run of each name is cut into blocks of up to
+   ``BLOCK`` starts, aligned to the gram. The bytes that all starts of a block share,
+   its core, take the place of the gram: blocks of unique core are done, blocks get
+   names, and equal names mean that all their starts repeat.
+4. Where a core has several names, the starts of one block of each name are compared
+   by their own ``span`` bytes.
+
+Names and windows are 96-bit hashes. No two rows of a group are paired.
 """
 
 from __future__ import annotations
@@ -22,10 +26,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pickwright.llm.common import broadcast_if, map_texts, row_key, stored
 
-SPAN, GRAM = 200, 64
+SPAN, GRAM, BLOCK = 200, 64, 16
 SLICE = 1 << 17
 BROADCAST_ROWS = 200_000
 _MASK = np.uint64((1 << 20) - 1)
@@ -73,9 +79,27 @@ def runs(data: bytes, span: int = SPAN) -> Iterator[tuple[np.ndarray, np.ndarray
         yield at + first, np.diff(np.r_[first, len(sample)]), h[sample[first]].view(np.int64)
 
 
-def _halves(digest: int) -> tuple[int, int]:
-    hi, lo = digest >> 64, digest & ((1 << 64) - 1)
-    return hi - (hi >> 63 << 64), lo - (lo >> 63 << 64)
+def _name(data: bytes) -> tuple[int, int]:
+    """96 bits of a hash, as a signed 64-bit number and a non-negative 31-bit one (one bit is left out)."""
+    from xxhash import xxh3_128_intdigest
+
+    digest = xxh3_128_intdigest(data)
+    hi = digest >> 64
+    return hi - (hi >> 63 << 64), digest & 0x7FFFFFFF
+
+
+def blocks(data: bytes, s: int, k: int, span: int = SPAN) -> Iterator[tuple[int, int, bytes]]:
+    """(first start, number of starts, core) of each block of a run.
+
+    A start lies 0 or more bytes before the run's gram; a block holds those of one
+    multiple of ``BLOCK``, so its core depends on the bytes around the gram alone.
+    """
+    h = gram_hashes(np.frombuffer(data[s : s + span], np.uint8))
+    gram = s + int(np.argmin(h & ~_MASK))
+    block = min(BLOCK, span)
+    for j in range((gram - s) // block, (gram - s - k + 1) // block - 1, -1):
+        first, last = max(s, gram - j * block - block + 1), min(s + k - 1, gram - j * block)
+        yield first, last - first + 1, data[gram - j * block : gram - j * block - block + 1 + span]
 
 
 def gram_batch(texts: list[str | None], span: int) -> dict[str, list]:
@@ -83,60 +107,82 @@ def gram_batch(texts: list[str | None], span: int) -> dict[str, list]:
 
 
 def run_batch(texts: list[str | None], span: int) -> dict[str, list]:
-    from xxhash import xxh3_128_intdigest
-
     out = []
     for t in texts:
         data, own = (t or "").encode(), []
         for start, n, gram in runs(data, span):
             for s, k, g in zip(start.tolist(), n.tolist(), gram.tolist(), strict=True):
-                a, b = _halves(xxh3_128_intdigest(data[s : s + k + span - 1]))
+                a, b = _name(data[s : s + k + span - 1])
                 own.append({"g": g, "a": a, "b": b, "s": s, "k": k})
         out.append(own)
     return {"r": out}
 
 
-def _windows(docs: DataFrame, by_doc: DataFrame, span: int) -> DataFrame:
-    """(a, b, off, wa, wb): the hash of every start of the runs listed for a document."""
-    from_text = docs.join(by_doc, docs["__id"].eqNullSafe(by_doc["__cid"]) & (docs["__h"] == by_doc["__ch"])).select("__t", "todo")
+def block_rows(data: bytes, todo: list[dict], span: int) -> Iterator[tuple]:
+    """(copies, g, a, b, s, k) of the blocks of the runs listed; g is a hash of the core."""
+    for r in todo:
+        for s, k, core in blocks(data, r["s"], r["k"], span):
+            a, b = _name(data[s : s + k + span - 1])
+            yield r["n"], _name(core)[0], a, b, s, k
+
+
+def window_rows(data: bytes, todo: list[dict], span: int) -> Iterator[tuple]:
+    """(start, wa, wb) of the starts of the blocks listed."""
+    for r in todo:
+        for s in range(r["s"], r["s"] + r["k"]):
+            yield s, *_name(data[s : s + span])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_intdigest
 
+def _of_open(docs: DataFrame, still_open: DataFrame, schema: str, rows, span: int) -> DataFrame:
+    """What ``rows`` makes of each document's text and its open stretches, beside __id and __h.
+
+    Rows with equal id and text all give rows; their stretches are of repeated names, whose number beyond one plays no part.
+    """
+    listed = still_open.groupBy(F.col("i").alias("__cid"), F.col("h").alias("__ch")).agg(F.collect_list(F.struct("s", "k", "n")).alias("todo"))
+    side = broadcast_if(stored(listed, "open"), BROADCAST_ROWS)
+    held = docs.join(side, docs["__id"].eqNullSafe(side["__cid"]) & (docs["__h"] == side["__ch"])).select("__id", "__h", "todo", "__t")
+    made = [to_arrow_type(f.dataType) for f in T._parse_datatype_string(schema)]
+    names = T._parse_datatype_string(schema).names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t, todo in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data, cols = t.encode(), ([], [], [], [], [])
-                for r in todo:
-                    for q in range(r["k"]):
-                        wa, wb = _halves(xxh3_128_intdigest(data[r["s"] + q : r["s"] + q + span]))
-                        for c, v in zip(cols, (r["a"], r["b"], q, wa, wb & 0x7FFFFFFF), strict=True):
-                            c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)], names=["a", "b", "off", "wa", "wb"])
+            for n, (todo, t) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                found = list(rows(t.encode(), todo, span))
+                if found:
+                    keys = batch.select([0, 1]).take(pa.array([n] * len(found)))
+                    cols = [pa.array(c, kind) for c, kind in zip(zip(*found), made, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*keys.columns, *cols], names=["__id", "__h", *names])
+
+    kind = docs.schema["__id"].dataType.simpleString()
+    return held.mapInArrow(run, f"__id {kind}, __h bigint, {schema}")
+
 
-    return from_text.mapInArrow(run, "a bigint, b bigint, off int, wa bigint, wb int")
+def _settle(rows: DataFrame, span: int, label: str) -> tuple[DataFrame, DataFrame]:
+    """Stretches (__id, __h, start, stop) of repeated name, and one stretch (n, i, h, s, k) of each name whose key ``g`` has several names, not all of them repeated."""
+    place = F.struct(F.col("__id").alias("i"), F.col("__h").alias("h"), "s", "k")
+    names = stored(rows.groupBy("g", "a", "b").agg(F.sum("copies").alias("n"), F.min(place).alias("p")), label)
+    mixed = names.groupBy(F.col("g").alias("__g")).agg(F.count("*").alias("names"), F.min("n").alias("least")).where("names > 1 and least = 1").select("__g")
+    still_open = names.join(mixed, F.col("g") == F.col("__g"), "left_semi").select("n", "p.*")
+    whole = names.where("n > 1").select(F.col("g").alias("__g"), F.col("a").alias("__a"), F.col("b").alias("__b"))
+    full = rows.join(whole, (F.col("g") == F.col("__g")) & (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b")), "left_semi")
+    return full.select("__id", "__h", F.col("s").alias("start"), (F.col("s") + F.col("k") + span - 1).alias("stop")), still_open
 
 
 def repeated(docs: DataFrame, span: int) -> DataFrame:
     """(__id, __h, start, stop) of stretches all of whose windows repeat. ``docs`` has __id, __h, __t, ``copies`` (rows that are this document)."""
     grams = map_texts(docs, ["copies"], "__t", "g array<bigint>", lambda ts: gram_batch(ts, span)).select("copies", F.explode("g").alias("g"))
     often = grams.groupBy("g").agg(F.sum("copies").alias("n")).where("n > 1").select(F.col("g").alias("__g"))
-    listed = "r array<struct<g:bigint,a:bigint,b:bigint,s:int,k:int>>"
+    listed = "r array<struct<g:bigint,a:bigint,b:int,s:int,k:int>>"
     every = map_texts(docs, ["__id", "__h", "copies"], "__t", listed, lambda ts: run_batch(ts, span)).select("__id", "__h", "copies", F.inline("r"))
     some = stored(every.join(often, F.col("g") == F.col("__g"), "left_semi"), "runs")
-    place = F.struct(F.col("__id").alias("i"), F.col("__h").alias("h"), "s", "k")
-    names = stored(some.groupBy("g", "a", "b").agg(F.sum("copies").alias("n"), F.min(place).alias("p")), "names")
-    mixed = names.groupBy(F.col("g").alias("__g")).agg(F.count("*").alias("names"), F.min("n").alias("least")).where("names > 1 and least = 1").select("__g")
-    open_names = names.join(mixed, F.col("g") == F.col("__g"), "left_semi").select("a", "b", "n", "p.*")
-    todo = open_names.groupBy(F.col("i").alias("__cid"), F.col("h").alias("__ch")).agg(F.collect_list(F.struct("a", "b", "s", "k")).alias("todo"))
-    windows = stored(_windows(docs, broadcast_if(stored(todo, "open-runs"), BROADCAST_ROWS), span), "windows")
+    by_run, open_runs = _settle(some, span, "run-names")
+    parts = stored(_of_open(docs, open_runs, "copies bigint, g bigint, a bigint, b int, s int, k int", block_rows, span), "blocks")
+    by_block, open_blocks = _settle(parts, span, "block-names")
+    windows = stored(_of_open(docs, open_blocks, "start int, wa bigint, wb int", window_rows, span), "windows")
     twice = windows.groupBy(F.col("wa").alias("__wa"), F.col("wb").alias("__wb")).agg(F.count("*").alias("n")).where("n > 1").select("__wa", "__wb")
-    hits = windows.join(twice, (F.col("wa") == F.col("__wa")) & (F.col("wb") == F.col("__wb")), "left_semi").groupBy("a", "b").agg(F.collect_list("off").alias("offs"))
-    single = names.where("n = 1").select(F.col("a").alias("__a"), F.col("b").alias("__b"), "p")
-    start = F.col("p")["s"] + F.col("off")
-    part = hits.join(single, (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b"))).select("p", F.explode("offs").alias("off")).select(F.col("p")["i"].alias("__id"), F.col("p")["h"].alias("__h"), start.alias("start"), (start + span).alias("stop"))
-    whole = names.where("n > 1").select(F.col("g").alias("__g"), F.col("a").alias("__a"), F.col("b").alias("__b"))
-    full = some.join(whole, (F.col("g") == F.col("__g")) & (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b")), "left_semi")
-    return full.select("__id", "__h", F.col("s").alias("start"), (F.col("s") + F.col("k") + span - 1).alias("stop")).unionByName(part)
+    hits = windows.join(twice, (F.col("wa") == F.col("__wa")) & (F.col("wb") == F.col("__wb")), "left_semi")
+    by_window = hits.select("__id", "__h", "start", (F.col("start") + span).alias("stop"))
+    return by_run.unionByName(by_block).unionByName(by_window)
 
 
 def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:

@@ -152,6 +152,30 @@ def test_repeated_bytes_equal_brute_force(spark, monkeypatch):
     assert suffix_dedup.remove_repeats(docs(spark, [])).count() == 0
 
 
+def test_blocks_cover_a_run_and_share_their_core():
+    rnd = random.Random(3)
+    data = bytes(rnd.randrange(97, 105) for _ in range(3000))
+    for start, n, _ in suffix_dedup.runs(data):
+        for s, k in zip(start.tolist(), n.tolist()):
+            got = sorted(suffix_dedup.blocks(data, s, k))
+            assert [x for a, m, _ in got for x in range(a, a + m)] == list(range(s, s + k))
+            assert all(core in data[x : x + 200] and len(core) == 200 - suffix_dedup.BLOCK + 1 for a, m, core in got for x in range(a, a + m))
+
+
+def test_near_copies_with_random_edits(spark):
+    rnd = random.Random(8)
+    base = "".join(rnd.choice("abcdefgh ") for _ in range(1500))
+    texts = [base, base]
+    for _ in range(30):
+        t = list(base)
+        for _ in range(rnd.randint(1, 5)):
+            at = rnd.randrange(len(t))
+            t[at : at + rnd.randint(0, 3)] = rnd.choice(["", "x", "yz", "é"])
+        texts.append("".join(t))
+    got = suffix_dedup.remove_repeats(docs(spark, texts)).orderBy("doc_id").collect()
+    assert [(r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got] == plain_repeats(texts)
+
+
 def test_language_on_held_out_rows(spark):
     rnd = random.Random(1)
     words = {"en": ["the", "of", "and", "that", "with"], "de": ["der", "und", "nicht", "für", "ist"], "fr": ["le", "des", "être", "que", "où"]}
