@@ -33,7 +33,8 @@ from pickwright.llm.common import broadcast_if, map_texts, row_key, stored
 
 SPAN, GRAM, BLOCK = 200, 64, 16
 SLICE = 1 << 17
-BROADCAST_ROWS = 200_000
+#: A table of lists by document is broadcast up to so many rows and, in all its lists, so many integers.
+BROADCAST_ROWS, BROADCAST_INTS = 200_000, 8_000_000
 _MASK = np.uint64((1 << 20) - 1)
 
 
@@ -118,28 +119,34 @@ def run_batch(texts: list[str | None], span: int) -> dict[str, list]:
     return {"r": out}
 
 
-def block_rows(data: bytes, todo: list[dict], span: int) -> Iterator[tuple]:
-    """(copies, g, a, b, s, k) of the blocks of the runs listed; g is a hash of the core."""
-    for r in todo:
-        for s, k, core in blocks(data, r["s"], r["k"], span):
+def block_rows(data: bytes, todo: list[int], span: int) -> Iterator[tuple]:
+    """(copies, g, a, b, s, k) of the blocks of the runs listed as (first start, starts, copies); g is a hash of the core."""
+    for at, many, copies in zip(todo[::3], todo[1::3], todo[2::3], strict=True):
+        for s, k, core in blocks(data, at, many, span):
             a, b = _name(data[s : s + k + span - 1])
-            yield r["n"], _name(core)[0], a, b, s, k
+            yield copies, _name(core)[0], a, b, s, k
 
 
-def window_rows(data: bytes, todo: list[dict], span: int) -> Iterator[tuple]:
-    """(start, wa, wb) of the starts of the blocks listed."""
-    for r in todo:
-        for s in range(r["s"], r["s"] + r["k"]):
+def window_rows(data: bytes, todo: list[int], span: int) -> Iterator[tuple]:
+    """(start, wa, wb) of the starts of the blocks listed likewise."""
+    for at, many in zip(todo[::3], todo[1::3], strict=True):
+        for s in range(at, at + many):
             yield s, *_name(data[s : s + span])
 
 
+def _small(df: DataFrame, lists: str) -> DataFrame:
+    """Hint a broadcast only within both bounds, counted; a larger table is left to a shuffled join."""
+    ints = df.agg(F.sum(F.size(lists))).first()[0] or 0
+    return broadcast_if(df, BROADCAST_ROWS) if ints <= BROADCAST_INTS else df
+
+
 def _of_open(docs: DataFrame, still_open: DataFrame, schema: str, rows, span: int) -> DataFrame:
     """What ``rows`` makes of each document's text and its open stretches, beside __id and __h.
 
     Rows with equal id and text all give rows; their stretches are of repeated names, whose number beyond one plays no part.
     """
-    listed = still_open.groupBy(F.col("i").alias("__cid"), F.col("h").alias("__ch")).agg(F.collect_list(F.struct("s", "k", "n")).alias("todo"))
-    side = broadcast_if(stored(listed, "open"), BROADCAST_ROWS)
+    listed = still_open.groupBy(F.col("i").alias("__cid"), F.col("h").alias("__ch")).agg(F.flatten(F.collect_list(F.array("s", "k", F.least("n", F.lit(2)).cast("int")))).alias("todo"))
+    side = _small(stored(listed, "open"), "todo")
     held = docs.join(side, docs["__id"].eqNullSafe(side["__cid"]) & (docs["__h"] == side["__ch"])).select("__id", "__h", "todo", "__t")
     made = [to_arrow_type(f.dataType) for f in T._parse_datatype_string(schema)]
     names = T._parse_datatype_string(schema).names
@@ -185,21 +192,35 @@ def repeated(docs: DataFrame, span: int) -> DataFrame:
     return by_run.unionByName(by_block).unionByName(by_window)
 
 
-def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
-    """What is left, bytes removed, maximal removed stretches."""
-    left, removed, count, at = [], 0, 0, 0
-    end = -1
+def merge(spans: list[tuple[int, int]]) -> list[int]:
+    """Start and end of every maximal stretch, one after the other; stretches that touch are one."""
+    out: list[int] = []
     for a, b in sorted(spans):
-        if a > end:
-            left.append(data[at:a])
-            count += 1
-            removed += b - a
-        elif b > end:
-            removed += b - end
-        end = max(end, b)
-        at = end
-    left.append(data[at:])
-    return b"".join(left), removed, count
+        if out and a <= out[-1]:
+            out[-1] = max(out[-1], b)
+        else:
+            out += (a, b)
+    return out
+
+
+def _merged(found: DataFrame) -> DataFrame:
+    """(__cid, __ch, spans): the merged stretches of each document."""
+    listed = found.groupBy(F.col("__id").alias("__cid"), F.col("__h").alias("__ch")).agg(F.collect_list("start").alias("a"), F.collect_list("stop").alias("b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [merge(list(zip(a, b, strict=True))) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(spans, pa.list_(pa.int32()))], names=["__cid", "__ch", "spans"])
+
+    kind = found.schema["__id"].dataType.simpleString()
+    return listed.mapInArrow(run, f"__cid {kind}, __ch bigint, spans array<int>")
+
+
+def cut(data: bytes, spans: list[int]) -> tuple[bytes, int, int]:
+    """What is left, bytes removed, maximal removed stretches."""
+    edges = [0, *spans, len(data)]
+    left = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+    return left, len(data) - len(left), len(spans) // 2
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
@@ -216,8 +237,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     copies = broadcast_if(stored(copies.select(F.col("__id").alias("__cid"), F.col("__h").alias("__ch"), "copies"), "copies"), BROADCAST_ROWS)
     several = own.join(copies, own["__id"].eqNullSafe(copies["__cid"]) & (own["__h"] == copies["__ch"]), "left")
     found = repeated(several.select("__id", "__h", "__t", F.coalesce("copies", F.lit(1)).alias("copies")), span)
-    by_doc = found.groupBy("__id", "__h").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    by_doc = broadcast_if(stored(by_doc.select(F.col("__id").alias("__cid"), F.col("__h").alias("__ch"), "spans"), "repeats"), BROADCAST_ROWS)
+    by_doc = _small(stored(_merged(found), "repeats"), "spans")
     joined = own.join(by_doc, own["__id"].eqNullSafe(by_doc["__cid"]) & (own["__h"] == by_doc["__ch"]), "left").select("doc_id", "__t", "spans")
     kind = docs.schema[doc_id].dataType.simpleString()
 
@@ -226,7 +246,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             sizes, rest = [], []
             for t, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 data = t.encode()
-                left, removed, count = cut(data, [(s["start"], s["stop"]) for s in spans or ()])
+                left, removed, count = cut(data, spans or [])
                 sizes.append((len(data), removed, count))
                 rest.append(left)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([x[k] for x in sizes], pa.int64()) for k in range(3)], pa.array(rest, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
