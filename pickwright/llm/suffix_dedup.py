@@ -20,7 +20,8 @@ Names and windows are 96-bit hashes. No two rows of a group are paired.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from pickwright.llm.common import broadcast_if, map_texts, row_key, stored
+from pickwright.llm.common import broadcast_if, row_key, stored
 
 SPAN, GRAM, BLOCK = 200, 64, 16
 SLICE = 1 << 17
+#: Rows that a Python worker holds before it hands them over.
+HELD = 1 << 14
 #: A table of lists by document is broadcast up to so many rows and, in all its lists, so many integers.
 BROADCAST_ROWS, BROADCAST_INTS = 200_000, 8_000_000
 _MASK = np.uint64((1 << 20) - 1)
@@ -103,20 +106,42 @@ def blocks(data: bytes, s: int, k: int, span: int = SPAN) -> Iterator[tuple[int,
         yield first, last - first + 1, data[gram - j * block : gram - j * block - block + 1 + span]
 
 
-def gram_batch(texts: list[str | None], span: int) -> dict[str, list]:
-    return {"g": [np.concatenate([r[2] for r in runs(t.encode(), span)]).tolist() if len(t.encode()) >= span else [] for t in map(lambda t: t or "", texts)]}
+def _rows(df: DataFrame, keep: list[str], schema: str, make: Callable[..., Iterator[tuple]]) -> DataFrame:
+    """Columns ``keep`` beside the rows that ``make`` gives for the bytes of ``__t`` and any columns after it.
 
+    ``make`` yields columns piece by piece, so a worker holds one Arrow batch of texts and few rows, however long a text is.
+    """
+    made = T._parse_datatype_string(schema)
+    names, kinds = [*keep, *made.names], [to_arrow_type(f.dataType) for f in made]
+
+    def handed(batch: pa.RecordBatch, pieces: list[tuple[int, tuple]]) -> pa.RecordBatch:
+        at = np.repeat([n for n, _ in pieces], [len(cols[0]) for _, cols in pieces])
+        keys = [batch.column(k).take(pa.array(at)) for k in range(len(keep))]
+        cols = [pa.array(np.concatenate([np.asarray(cols[k], kind.to_pandas_dtype()) for _, cols in pieces])) for k, kind in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays([*keys, *cols], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pieces, held = [], 0
+            for n in range(batch.num_rows):
+                text, *rest = (c[n].as_py() for c in batch.columns[len(keep) :])
+                for cols in make(text.encode(), *rest):
+                    pieces.append((n, cols))
+                    held += len(cols[0])
+                    if held >= HELD:
+                        yield handed(batch, pieces)
+                        pieces, held = [], 0
+            if pieces:
+                yield handed(batch, pieces)
+
+    return df.mapInArrow(run, T.StructType([*df.select(*keep).schema, *made]))
 
-def run_batch(texts: list[str | None], span: int) -> dict[str, list]:
-    out = []
-    for t in texts:
-        data, own = (t or "").encode(), []
-        for start, n, gram in runs(data, span):
-            for s, k, g in zip(start.tolist(), n.tolist(), gram.tolist(), strict=True):
-                a, b = _name(data[s : s + k + span - 1])
-                own.append({"g": g, "a": a, "b": b, "s": s, "k": k})
-        out.append(own)
-    return {"r": out}
+
+def run_rows(data: bytes, span: int) -> Iterator[tuple]:
+    """(g, a, b, s, k) of all runs: gram, name, first start, starts."""
+    for start, n, gram in runs(data, span):
+        named = [_name(data[s : s + k + span - 1]) for s, k in zip(start.tolist(), n.tolist(), strict=True)]
+        yield gram, [a for a, _ in named], [b for _, b in named], start, n
 
 
 def block_rows(data: bytes, todo: list[int], span: int) -> Iterator[tuple]:
@@ -147,21 +172,8 @@ def _of_open(docs: DataFrame, still_open: DataFrame, schema: str, rows, span: in
     """
     listed = still_open.groupBy(F.col("i").alias("__cid"), F.col("h").alias("__ch")).agg(F.flatten(F.collect_list(F.array("s", "k", F.least("n", F.lit(2)).cast("int")))).alias("todo"))
     side = _small(stored(listed, "open"), "todo")
-    held = docs.join(side, docs["__id"].eqNullSafe(side["__cid"]) & (docs["__h"] == side["__ch"])).select("__id", "__h", "todo", "__t")
-    made = [to_arrow_type(f.dataType) for f in T._parse_datatype_string(schema)]
-    names = T._parse_datatype_string(schema).names
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for n, (todo, t) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                found = list(rows(t.encode(), todo, span))
-                if found:
-                    keys = batch.select([0, 1]).take(pa.array([n] * len(found)))
-                    cols = [pa.array(c, kind) for c, kind in zip(zip(*found), made, strict=True)]
-                    yield pa.RecordBatch.from_arrays([*keys.columns, *cols], names=["__id", "__h", *names])
-
-    kind = docs.schema["__id"].dataType.simpleString()
-    return held.mapInArrow(run, f"__id {kind}, __h bigint, {schema}")
+    held = docs.join(side, docs["__id"].eqNullSafe(side["__cid"]) & (docs["__h"] == side["__ch"])).select("__id", "__h", "__t", "todo")
+    return _rows(held, ["__id", "__h"], schema, lambda data, todo: (tuple(zip(*part, strict=True)) for part in batched(rows(data, todo, span), HELD)))
 
 
 def _settle(rows: DataFrame, span: int, label: str) -> tuple[DataFrame, DataFrame]:
@@ -177,10 +189,9 @@ def _settle(rows: DataFrame, span: int, label: str) -> tuple[DataFrame, DataFram
 
 def repeated(docs: DataFrame, span: int) -> DataFrame:
     """(__id, __h, start, stop) of stretches all of whose windows repeat. ``docs`` has __id, __h, __t, ``copies`` (rows that are this document)."""
-    grams = map_texts(docs, ["copies"], "__t", "g array<bigint>", lambda ts: gram_batch(ts, span)).select("copies", F.explode("g").alias("g"))
+    grams = _rows(docs.select("copies", "__t"), ["copies"], "g bigint", lambda data: ((gram,) for _, _, gram in runs(data, span)))
     often = grams.groupBy("g").agg(F.sum("copies").alias("n")).where("n > 1").select(F.col("g").alias("__g"))
-    listed = "r array<struct<g:bigint,a:bigint,b:int,s:int,k:int>>"
-    every = map_texts(docs, ["__id", "__h", "copies"], "__t", listed, lambda ts: run_batch(ts, span)).select("__id", "__h", "copies", F.inline("r"))
+    every = _rows(docs.select("__id", "__h", "copies", "__t"), ["__id", "__h", "copies"], "g bigint, a bigint, b int, s int, k int", lambda data: run_rows(data, span))
     some = stored(every.join(often, F.col("g") == F.col("__g"), "left_semi"), "runs")
     by_run, open_runs = _settle(some, span, "run-names")
     parts = stored(_of_open(docs, open_runs, "copies bigint, g bigint, a bigint, b int, s int, k int", block_rows, span), "blocks")
