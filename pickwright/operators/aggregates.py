@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from pickwright import constants as K
 from pickwright.functions import rating
-from pickwright.skew import cell_order, not_null, running_totals
+from pickwright.skew import cell_order, nan_to_null, not_null, running_totals
 
 
 def wmean(x: Column, w: Column, where: Column | None = None) -> Column:
-    """Weighted mean over rows with a value; null when there is none."""
+    """Weighted mean over rows with a value; null when there is none. NaN is no value."""
+    x = F.nullif(x.cast("double"), F.lit(float("nan")))
     use = x.isNotNull() if where is None else x.isNotNull() & where
     return F.sum(F.when(use, x * w)) / F.sum(F.when(use, w))
 
@@ -219,7 +220,7 @@ def pivot_mean(df: DataFrame, rows: Sequence[str], col: str, values: Sequence[st
 
 def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     """Pearson, Spearman (average ranks), MAE, RMSE, both deviations and their ratio: one row."""
-    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("_a"), F.col(b).alias("_b"))
+    both = nan_to_null(df.select(F.col(a).alias("_a"), F.col(b).alias("_b"))).where(not_null(["_a", "_b"]))
     ranked = both
     for c in ("_a", "_b"):
         pos = running_totals(both, [], c, {"n": F.lit(1)})
@@ -263,6 +264,7 @@ def summarize(
     """Distribution summary of ``x`` per key."""
     qs = qs or {"p10": 0.10, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.90}
     c = F.col(x)
+    df = nan_to_null(df, [x])
     moments = df.where(not_null([*keys, x])).groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.avg(c).alias("mean"),

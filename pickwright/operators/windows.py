@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pickwright.functions.labels import safe_ratio
 from pickwright.operators.aggregates import wmean
-from pickwright.skew import add_group_stats, cell_order, day_chunk, neighbor, not_null, over_cells, running_totals
+from pickwright.skew import add_group_stats, cell_order, day_chunk, nan_to_null, neighbor, not_null, over_cells, running_totals
 
 
 def rest_days(df: DataFrame, keys: Sequence[str], day: str, tie: str, default: int, out: str = "rest") -> DataFrame:
@@ -82,6 +82,7 @@ def back_to_back(df: DataFrame, keys: Sequence[str], day: str, tie: str, week: s
 def group_stats(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Mean, max, min and sample deviation of each column per group, on every row."""
     aggs = {}
+    df = nan_to_null(df, cols)
     for c in cols:
         aggs |= {
             f"{c}_mean": F.avg(c), f"{c}_max": F.max(c), f"{c}_min": F.min(c),
@@ -93,6 +94,7 @@ def group_stats(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> Data
 def relative_stats(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Distance to the group's mean and top, ratio to the top, and is-top."""
     aggs = {}
+    df = nan_to_null(df, cols)
     for c in cols:
         aggs |= {f"_{c}_m": F.avg(c), f"_{c}_x": F.max(c)}
     out = add_group_stats(df, keys, aggs)

@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pickwright.session import cut_lineage
+
 
 def not_null(cols: Sequence[str]) -> Column:
     cond = F.lit(True)
@@ -32,14 +34,59 @@ def add_group_stats(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Colum
 
 
 def _ordinal(df: DataFrame, col: str) -> Column:
+    """A double that never decreases along the column's order; unequal values may share one."""
     kind = dict(df.dtypes)[col]
     if kind == "date":
         return F.unix_date(F.col(col)).cast("double")
     if kind.startswith("timestamp"):
         return F.col(col).cast("timestamp").cast("double")
+    if kind == "string":
+        # the first six bytes as a number, short strings padded with zero bytes
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(col), "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
     return F.col(col).cast("double")
 
 
+def nan_to_null(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """NaN becomes null in the given (all) floating columns."""
+    wanted = {c for c, t in df.dtypes if t in ("double", "float") and (cols is None or c in cols)}
+    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in wanted}) if wanted else df
+
+
+#: Cuts of one heavy group, and cuts per step of the search among them.
+CUTS, STEP = 1024, 32
+#: A heavy group's piece number stays below this.
+CODES = 4 * CUTS
+
+
+def heavy_cuts(df: DataFrame, group: Sequence[str], x: str, piece_rows: int) -> DataFrame | None:
+    """Cut values of ``x`` for each group of more than ``piece_rows`` rows; None if there is no such group.
+
+    A mergeable percentile sketch with a rank error of at most 1 / (16 CUTS) of the group finds them, so no
+    group is gathered. They are checkpointed: all uses must see the same cuts, whatever the order of merging.
+    There is at most one row per ``piece_rows`` rows of the input.
+    """
+    heavy = cut_lineage(df.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") > piece_rows).drop("_n"))
+    if heavy.isEmpty():
+        return None
+    shares = [i / CUTS for i in range(1, CUTS)]
+    cuts = F.array_distinct(F.percentile_approx(x, shares, 16 * CUTS))
+    found = df.select(*group, x).join(heavy, list(group), "left_semi").groupBy(*group).agg(cuts.alias("_cuts"))
+    coarse = F.filter("_cuts", lambda v, i: i % STEP == STEP - 1)
+    return cut_lineage(found.withColumn("_coarse", coarse))
+
+
+def piece_of(x: Column) -> Column:
+    """Piece of a value among ``_cuts``: even between two cuts, odd for a value that is itself a cut.
+
+    An even piece holds at most 1 / CUTS of the group, beside the sketch's error; an odd one holds one value.
+    Groups without cuts are piece 0.
+    """
+    block = F.coalesce(F.size(F.filter("_coarse", lambda v: v < x)), F.lit(0)) * STEP
+    below = block + F.coalesce(F.size(F.filter(F.slice("_cuts", block + 1, F.lit(STEP)), lambda v: v < x)), F.lit(0))
+    code = below * 2 + F.coalesce(F.get("_cuts", below) == x, F.lit(False)).cast("int")
+    return F.when(F.col("_cuts").isNull(), 0).otherwise(code).cast("long")
+
+
 def running_totals(
     df: DataFrame,
     keys: Sequence[str],
@@ -49,12 +96,13 @@ def running_totals(
 ) -> DataFrame:
     """One row per (keys, order value) with ``<m>``, ``<m>_upto`` and ``<m>_total``.
 
-    Equal order values are merged first, so ties are free. Each group's value
-    range is then cut into bins of about ``bin_rows`` distinct values; sums run
-    inside a bin and the bins' own totals are carried over, which keeps the
-    ordered work of even the largest group spread over many tasks.
+    Equal order values are merged first, so ties are free; null and NaN have no place. A group of up to
+    ``bin_rows`` distinct values is one ordered piece. A larger one is cut by rank (:func:`heavy_cuts`), so
+    outliers don't matter; sums run inside a piece and the pieces' own totals are carried over.
+    The merged values are checkpointed, so the input is read once.
     """
     names = list(measures)
+    df = nan_to_null(df, [order])
     cells = (
         df.where(not_null([*keys, order]))
         .groupBy(*keys, order)
@@ -63,31 +111,28 @@ def running_totals(
     )
     if not keys:
         cells = cells.withColumn("_all", F.lit(0))
+    cells = cut_lineage(cells)
     group = list(keys) or ["_all"]
-    span = cells.groupBy(*group).agg(
-        F.min("_x").alias("_lo"),
-        F.max("_x").alias("_hi"),
-        F.ceil(F.count("*") / bin_rows).alias("_bins"),
-        *[F.sum(n).alias(f"{n}_total") for n in names],
-    )
-    width = F.col("_hi") - F.col("_lo")
-    if keys:
-        spanned = cells.join(span, group)
-    else:
-        # one row for the whole table: scalar subqueries instead of a join on a constant
-        spanned = cells.withColumns({c: span.select(c).scalar() for c in span.columns if c != "_all"})
-    binned = spanned.withColumn(
-        "_bin",
-        F.when(width > 0, F.floor((F.col("_x") - F.col("_lo")) / width * F.col("_bins"))).otherwise(F.lit(0)).cast("long"),
-    )
+    cuts = heavy_cuts(cells, group, "_x", bin_rows)
+    if cuts is None:
+        whole = Window.partitionBy(*group)
+        upto = whole.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return cells.select(
+            *keys, order, *names,
+            *[F.sum(n).over(upto).alias(f"{n}_upto") for n in names],
+            *[F.sum(n).over(whole).alias(f"{n}_total") for n in names],
+        )
+    binned = cells.join(cuts, group, "left").withColumn("_bin", piece_of(F.col("_x"))).drop("_cuts", "_coarse")
     totals = binned.groupBy(*group, "_bin").agg(*[F.sum(n).alias(n) for n in names])
-    earlier = Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    line = Window.partitionBy(*group)
+    earlier = line.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(
-        *group, "_bin", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_{n}_carry") for n in names]
+        *group, "_bin",
+        *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_{n}_carry") for n in names],
+        *[F.sum(n).over(line).alias(f"{n}_total") for n in names],
     )
-    inside = Window.partitionBy(*group, "_bin").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    out = binned.join(carried, [*group, "_bin"])
-    return out.select(
+    inside = Window.partitionBy(*group, "_bin").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return binned.join(carried, [*group, "_bin"]).select(
         *keys,
         order,
         *names,
@@ -96,6 +141,25 @@ def running_totals(
     )
 
 
+def cut_pieces(df: DataFrame, group: Sequence[str], order: Sequence[str], piece_rows: int) -> DataFrame:
+    """Add ``_piece``, which never decreases along ``order`` inside a group.
+
+    Groups of up to ``piece_rows`` rows are one piece. Larger ones are cut by rank of the first order column;
+    a single value that still has more rows is cut by the next column, and so on.
+    """
+    out = df.withColumn("_piece", F.lit(0).cast("long"))
+    for i, col in enumerate(order):
+        x = out.withColumn("_x", _ordinal(out, col))
+        # between two cuts several values of the column before are mixed, so only single ones are cut further
+        single = x if i == 0 else x.where(F.col("_piece") % 2 == 1)
+        cuts = heavy_cuts(single, [*group, "_piece"], "_x", piece_rows)
+        if cuts is None:
+            return out
+        placed = x.join(cuts, [*group, "_piece"], "left").withColumn("_code", piece_of(F.col("_x")))
+        out = placed.withColumn("_piece", F.col("_piece") * CODES + F.col("_code")).select(*df.columns, "_piece")
+    return out
+
+
 def neighbor(
     df: DataFrame,
     keys: Sequence[str],
@@ -103,27 +167,27 @@ def neighbor(
     cols: Mapping[str, str],
     chunk: Column,
     ahead: bool = False,
+    piece_rows: int = 1_000_000,
 ) -> DataFrame:
     """Add ``{new: source}`` columns taken from the previous (or next) row.
 
-    ``chunk`` must not decrease along ``order``; it cuts a group into pieces, the
-    lag runs per piece, and the first row of a piece takes the last row of the
-    piece before it from a small edge table.
+    ``chunk`` must not decrease along ``order``; it cuts a group into chunks, and a chunk of more than
+    ``piece_rows`` rows is cut further by rank (:func:`cut_pieces`). The lag runs per piece, and the first row
+    of a piece takes the last row of the piece before it from a small edge table.
     """
     row = F.struct(*[F.col(s).alias(n) for n, s in cols.items()])
     rank = F.struct(*order)
-    tagged = df.withColumn("_chunk", chunk)
-    piece = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    at = [*keys, "_chunk", "_piece"]
+    tagged = cut_pieces(df.withColumn("_chunk", chunk), [*keys, "_chunk"], order, piece_rows)
+    piece = Window.partitionBy(*at).orderBy(*order)
     near = F.lead(row).over(piece) if ahead else F.lag(row).over(piece)
-    edge = tagged.groupBy(*keys, "_chunk").agg(
-        (F.min_by(row, rank) if ahead else F.max_by(row, rank)).alias("_edge")
-    )
-    line = Window.partitionBy(*keys).orderBy("_chunk")
+    edge = tagged.groupBy(*at).agg((F.min_by(row, rank) if ahead else F.max_by(row, rank)).alias("_edge"))
+    line = Window.partitionBy(*keys).orderBy("_chunk", "_piece")
     beyond = F.lead("_edge").over(line) if ahead else F.lag("_edge").over(line)
-    edge = edge.select(*keys, "_chunk", beyond.alias("_beyond"))
+    edge = edge.select(*at, beyond.alias("_beyond"))
     return (
         tagged.withColumn("_near", near)
-        .join(edge, [*keys, "_chunk"], "left")
+        .join(edge, at, "left")
         .withColumn("_near", F.coalesce("_near", "_beyond"))
         .select(*df.columns, *[F.col(f"_near.{n}").alias(n) for n in cols])
     )
@@ -168,8 +232,8 @@ def cell_order(keys: Sequence[str], order: Column | str):
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Distribute rows over all tasks before a step that does much work per row.
+    """Distribute rows before a step that does much work per row.
 
-    The count is explicit, so AQE does not merge small inputs back into one task.
+    A rebalance: AQE sizes the partitions by bytes, splits a hot key's and follows the input's growth.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return df.hint("rebalance", *keys)

@@ -31,8 +31,8 @@ def clean_numbers(df: DataFrame) -> DataFrame:
 
 
 def read_seasons(spark: SparkSession, path: str, seasons: Sequence[int], cols: Sequence[str], season: str = "season") -> DataFrame:
-    """Only the asked seasons (partition pruning) and columns (a narrow read schema)."""
-    return spark.read.parquet(path).where(F.col(season).isin(*seasons)).select(*cols)
+    """Only the asked seasons (partition pruning) and columns (a narrow read schema); NaN and infinity come in as null."""
+    return clean_numbers(spark.read.parquet(path).where(F.col(season).isin(*seasons)).select(*cols))
 
 
 def seasons_of_window(as_of_year: int, back: int) -> list[int]:

@@ -292,6 +292,56 @@ def test_neighbor_crosses_chunks(spark):
         assert ahead == {0: 10, 1: 20, 2: 30, 3: 40, 4: 50, 5: None, 9: None}
 
 
+def largest_piece(df, keys):
+    """Rows of the largest piece over the mean piece's rows, within the hot key."""
+    sizes = [r["count"] for r in df.groupBy(*keys).count().collect()]
+    return max(sizes), sum(sizes) / len(sizes)
+
+
+def test_pieces_of_a_hot_key_with_an_outlier(spark):
+    n = 60_000
+    x = F.when(F.col("id") == 0, 1e12).otherwise(F.col("id") * 0.5)
+    df = spark.range(n).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 997)).alias("g"), x.alias("x"), "id")
+    cut = skew.cut_pieces(df, ["g"], ["x"], 1000).where("g = 'hot'")
+    most, _ = largest_piece(cut, ["_piece"])
+    assert most <= 1.5 * (n / 3) / skew.CUTS + 2
+    got = {(r["g"], r["x"]): r["n_upto"] for r in skew.running_totals(df, ["g"], "x", {"n": F.lit(1)}, bin_rows=1000).where("g = 'hot'").collect()}
+    assert [got["hot", v] for _, v in sorted(got)] == list(range(1, len(got) + 1)) and len(got) == n / 3
+
+
+def test_a_single_heavy_value_is_cut_by_the_next_column(spark):
+    n = 40_000
+    day = F.when(F.col("id") % 2 == 0, F.lit("2025-01-05")).otherwise(F.lit("2025-01-06")).cast("date")
+    df = spark.range(n).select(F.lit("hot").alias("t"), day.alias("day"), "id", (F.col("id") * 7).alias("v"))
+    cut = skew.cut_pieces(df, ["t"], ["day", "id"], 500)
+    assert largest_piece(cut, ["_piece"])[0] <= 1.5 * n / 2 / skew.CUTS + 2
+    for ahead in (False, True):
+        got = skew.neighbor(df, ["t"], ["day", "id"], {"p": "v"}, F.lit(0), ahead=ahead, piece_rows=500)
+        pairs = {r["id"]: r["p"] for r in got.collect()}
+        line = sorted(range(n), key=lambda i: (i % 2, i))
+        if ahead:
+            line = line[::-1]
+        assert pairs == {i: (line[k - 1] * 7 if k else None) for k, i in enumerate(line)}
+
+
+def test_string_order_keeps_its_order(spark):
+    words = ["", "a", "ab", "abcdefg", "abcdefh", "b", "zz", "é"]
+    df = spark.createDataFrame([(w,) for w in words], "s string")
+    codes = [r[0] for r in df.orderBy("s").select(skew._ordinal(df, "s")).collect()]
+    assert codes == sorted(codes) and None not in codes
+
+
+def test_nan_has_no_rank_and_no_weight(spark):
+    df = spark.createDataFrame([("a", 2.0), ("a", float("nan")), ("a", 1.0), ("a", None)], "g string, x double")
+    ranks = {str(r["x"]): (r["x_rank"], r["x_rank_density"]) for r in windows.rank_density(df, ["g"], "x").collect()}
+    assert ranks == {"2.0": (1, 0.25), "1.0": (2, 0.5), "nan": (None, None), "None": (None, None)}
+    weak = {str(r["x"]): r["p"] for r in windows.weak_percentile(df, ["g"], "x", "p").collect()}
+    assert weak == {"2.0": 100.0, "1.0": 50.0, "nan": None, "None": None}
+    assert df.agg(A.wmean(F.col("x"), F.lit(1.0)).alias("m")).first()["m"] == 1.5
+    assert {r["x_mean"] for r in windows.group_stats(df, ["g"], ["x"]).collect()} == {1.5}
+    assert A.summarize(df, ["g"], "x").first()["median"] == 1.5
+
+
 def test_first_by_keeps_whole_rows(spark, rows):
     df = spark.createDataFrame([(1, None, 2), (1, "x", 1), (2, "y", 5)], "k int, v string, o int")
     assert rows(skew.first_by(df, ["k"], [F.col("o")])) == [(1, "x", 1), (2, "y", 5)]
