@@ -303,27 +303,26 @@ def a23(spark, d):
     return A.distinct_values(games(spark, d), ["season", "week"])
 
 
-def ratings_sql(passes: int, m: float) -> list[str]:
-    """The passes written out: r_i = own + m * opponents' r_(i-1)."""
-    out = [
-        "tot AS (SELECT team, sum(weight) AS tw, sum(net_epa * weight) / sum(weight) AS be, sum(net_sr * weight) / sum(weight) AS bs FROM edges GROUP BY ALL)",
-        "sh AS (SELECT team, opponent, sum(weight) / any_value(tw) AS s FROM edges JOIN tot USING (team) GROUP BY ALL)",
-        "r1 AS (SELECT team, be AS epa, bs AS sr, CAST(0 AS DOUBLE) AS epa_schedule FROM tot)",
+def ratings_sql(passes: int, m: float, edges: str = "edges") -> list[str]:
+    """The passes as a recursion: r = own + m * opponents' r of the pass before; ``rated`` is the last one."""
+    return [
+        f"tot AS MATERIALIZED (SELECT team, sum(weight) AS tw, sum(net_epa * weight) / sum(weight) AS be, sum(net_sr * weight) / sum(weight) AS bs FROM {edges} GROUP BY ALL)",
+        f"sh AS MATERIALIZED (SELECT team, opponent, sum(weight) / any_value(tw) AS s, any_value(be) AS be, any_value(bs) AS bs FROM {edges} JOIN tot USING (team) GROUP BY ALL)",
+        f"""rated AS MATERIALIZED (WITH RECURSIVE p AS (
+          SELECT 1 AS i, team, be AS epa, bs AS sr, CAST(0 AS DOUBLE) AS epa_schedule FROM tot
+          UNION ALL
+          SELECT any_value(p.i) + 1, sh.team, any_value(be) + {m} * sum(s * p.epa), any_value(bs) + {m} * sum(s * p.sr), sum(s * p.epa)
+          FROM sh JOIN p ON p.team = sh.opponent WHERE p.i < {passes} GROUP BY sh.team)
+          SELECT team, epa, sr, epa_schedule FROM p WHERE i = {passes})""",
     ]
-    for i in range(2, passes + 1):
-        out.append(
-            f"""r{i} AS (SELECT t.team, any_value(be) + {m} * sum(s * p.epa) AS epa, any_value(bs) + {m} * sum(s * p.sr) AS sr, sum(s * p.epa) AS epa_schedule
-            FROM tot t JOIN sh USING (team) JOIN r{i - 1} p ON p.team = sh.opponent GROUP BY t.team)"""
-        )
-    return out
 
 
 @case(
     "i1_iterative_rating", "team:l epa:d sr:d epa_schedule:d",
-    q(GAMES, PLAYS, EDGES, *ratings_sql(5, 0.86), "SELECT * FROM r5"),
+    q(GAMES, PLAYS, EDGES, *ratings_sql(100, 0.86), "SELECT * FROM rated"),
 )
 def i1(spark, d):
-    return iterative_rating(edges(spark, d), "team", "opponent", {"epa": "net_epa", "sr": "net_sr"}, "weight", K.SCHEDULE_MULTIPLIER, 5)
+    return iterative_rating(edges(spark, d), "team", "opponent", {"epa": "net_epa", "sr": "net_sr"}, "weight", K.SCHEDULE_MULTIPLIER, K.RATING_PASSES)
 
 
 def _side(net: str, r: str, home: str) -> str:
@@ -332,14 +331,14 @@ def _side(net: str, r: str, home: str) -> str:
 
 @case(
     "a22_home_split", "team:l hfa_points:d home_rating:d away_rating:d global_rating:d hfa_epa:d hfa_sr:d",
-    q(GAMES, PLAYS, EDGES, *ratings_sql(4, 1.0), f"""hs AS (SELECT edges.team, {_side('net_epa', 'epa', 'is_home')} AS he, {_side('net_sr', 'sr', 'is_home')} AS hs,
-        {_side('net_epa', 'epa', 'NOT is_home')} AS ae, {_side('net_sr', 'sr', 'NOT is_home')} AS sa FROM edges JOIN r4 o ON o.team = edges.opponent GROUP BY edges.team)""",
+    q(GAMES, PLAYS, EDGES, *ratings_sql(50, 1.0), f"""hs AS (SELECT edges.team, {_side('net_epa', 'epa', 'is_home')} AS he, {_side('net_sr', 'sr', 'is_home')} AS hs,
+        {_side('net_epa', 'epa', 'NOT is_home')} AS ae, {_side('net_sr', 'sr', 'NOT is_home')} AS sa FROM edges JOIN rated o ON o.team = edges.opponent GROUP BY edges.team)""",
       """SELECT hs.team, (he - ae) / 2 * 0.42 + (hs - sa) / 2 * 100 * 0.765 * 0.58 AS hfa_points, he * 0.42 + hs * 100 * 0.765 * 0.58 AS home_rating, ae * 0.42 + sa * 100 * 0.765 * 0.58 AS away_rating,
-         epa * 0.42 + sr * 100 * 0.765 * 0.58 AS global_rating, (he - ae) / 2 AS hfa_epa, (hs - sa) / 2 AS hfa_sr FROM hs JOIN r4 USING (team)"""),
+         epa * 0.42 + sr * 100 * 0.765 * 0.58 AS global_rating, (he - ae) / 2 AS hfa_epa, (hs - sa) / 2 AS hfa_sr FROM hs JOIN rated USING (team)"""),
 )
 def a22(spark, d):
     e = edges(spark, d)
-    ratings = iterative_rating(e, "team", "opponent", {"epa": "net_epa", "sr": "net_sr"}, "weight", 1.0, 4)
+    ratings = iterative_rating(e, "team", "opponent", {"epa": "net_epa", "sr": "net_sr"}, "weight", K.SPLIT_MULTIPLIER, K.SPLIT_PASSES)
     return A.home_split(e, ratings)
 
 

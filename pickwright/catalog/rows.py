@@ -8,7 +8,7 @@ from pickwright.catalog.bindings import DIM, GAMES, PICKS, PLAYS, TEAM_GAMES, di
 from pickwright.functions import labels, rating
 from pickwright.operators import rows
 from pickwright.operators.joins import lookup_sides
-from pickwright.operators.windows import count_in_days, opponent_rest, rest_days, running_advantage
+from pickwright.operators.windows import back_to_back, count_in_days, opponent_rest, rest_days, running_advantage
 from pickwright.session import cut_lineage
 
 
@@ -279,32 +279,43 @@ def p18(spark, d):
 
 _ELIGIBLE_SQL = q(
     GAMES, TEAM_GAMES, DIM,
-    "r AS (SELECT tg.*, coalesce(date_diff('day', lag(day) OVER (PARTITION BY season, team ORDER BY day, game_id), day), 7) AS rest FROM tg)",
+    """r AS (SELECT tg.*, coalesce(date_diff('day', lag(day) OVER (PARTITION BY season, team ORDER BY day, game_id), day), 7) AS rest,
+      is_away AND coalesce(lag(week) OVER (PARTITION BY season, team, is_away ORDER BY day, game_id) = week - 1, false) AS b2b FROM tg)""",
     "o AS (SELECT r.*, r2.rest AS opp_rest, r.rest - r2.rest AS rest_adv FROM r JOIN r r2 ON r.game_id = r2.game_id AND r.opp = r2.team)",
     "s AS (SELECT o.*, sum(rest_adv) OVER (PARTITION BY season, team ORDER BY day) AS season_adv FROM o)",
-    "c AS (SELECT s.*, count(*) OVER (PARTITION BY season, team ORDER BY day RANGE BETWEEN INTERVAL 17 DAY PRECEDING AND CURRENT ROW) >= 60 AS f17 FROM s)",
+    """c AS (SELECT s.*, count(*) OVER (PARTITION BY season, team ORDER BY day RANGE BETWEEN INTERVAL 17 DAY PRECEDING AND CURRENT ROW) >= 60 AS f17,
+      count(*) OVER (PARTITION BY season, team ORDER BY day RANGE BETWEEN INTERVAL 10 DAY PRECEDING AND CURRENT ROW) >= 35 AS t10 FROM s)""",
     "v AS (SELECT c.*, a.division AS da, b.division AS db FROM c LEFT JOIN dim a ON a.team = c.team LEFT JOIN dim b ON b.team = c.opp)",
-    """z AS (SELECT game_id, team, list_filter([CASE WHEN line <= 0 THEN 'not_favored' END, CASE WHEN is_away AND line <= 3 THEN 'away_close' END,
+    """z AS (SELECT game_id, team, list_filter([CASE WHEN line <= 0 THEN 'not_favored' END, CASE WHEN is_away AND line <= 3 THEN 'away_close' END, CASE WHEN b2b THEN 'back_to_back_away' END,
        CASE WHEN coalesce(da = db, false) AND line <= 3 THEN 'close_divisional' END, CASE WHEN coalesce(da = db, false) AND is_away THEN 'away_divisional' END,
        CASE WHEN is_away AND rest < 7 AND rest < opp_rest THEN 'short_rest' END, CASE WHEN f17 THEN 'four_in_17' END,
-       CASE WHEN isodow(day) = 4 THEN 'thursday' END, CASE WHEN rest_adv < 0 THEN 'weekly_rest' END,
-       CASE WHEN season_adv < CASE WHEN is_away THEN -10 ELSE -5 END THEN 'season_rest' END], lambda e: e IS NOT NULL) AS reject_reasons FROM v)""",
+       CASE WHEN t10 THEN 'three_in_10' END, CASE WHEN venue % 7 = 0 THEN 'foreign_venue' END,
+       CASE WHEN isodow(day) = 4 THEN 'thursday' END, CASE WHEN is_away AND isodow(day) = 4 THEN 'away_thursday' END, CASE WHEN rest_adv < 0 THEN 'weekly_rest' END,
+       CASE WHEN season_adv < CASE WHEN is_away THEN -10 ELSE -5 END THEN 'season_rest' END,
+       CASE WHEN is_away AND (team - opp) * 100 < -850 THEN 'travel' END, CASE WHEN team % 11 = 3 THEN 'prohibited' END,
+       CASE WHEN (team + week) % 13 = 0 THEN 'already_used' END, CASE WHEN (line > 0) <> (game_id % 10 < 6) THEN 'no_consensus' END], lambda e: e IS NOT NULL) AS reject_reasons FROM v)""",
     "SELECT game_id, team, len(reject_reasons) = 0 AS eligible, reject_reasons FROM z",
 )
 
 
 @case("p19_eligibility", "game_id:l team:l eligible:b reject_reasons:a", _ELIGIBLE_SQL)
 def p19(spark, d):
-    tg = rest_days(team_games(spark, d), ["season", "team"], "day", "game_id", 7)
+    c, season = F.col, ["season", "team"]
+    tg = rest_days(team_games(spark, d), season, "day", "game_id", 7)
+    tg = back_to_back(tg, season, "day", "game_id", "week", "is_away")
     tg = cut_lineage(opponent_rest(tg, "game_id", "team", "opp"))
-    tg = running_advantage(tg, ["season", "team"], "day", "rest_adv")
-    tg = count_in_days(tg, ["season", "team"], "day", {"four_in_17": (17, 60)})
+    tg = running_advantage(tg, season, "day", "rest_adv")
+    tg = count_in_days(tg, season, "day", {"four_in_17": (17, 60), "three_in_10": (10, 35)})
     tg = lookup_sides(tg, dim(spark, d), "team", ["division"], "team", "opp")
-    same = F.coalesce(F.col("home_division") == F.col("away_division"), F.lit(False))
-    tg = tg.withColumns({"divisional": same, "margin": F.col("line"), "thursday": (F.weekday("day") == 3).cast("int")})
-    every = rows.pick_rules()
-    wanted = ["not_favored", "away_close", "close_divisional", "away_divisional", "short_rest", "four_in_17", "thursday", "weekly_rest", "season_rest"]
-    return rows.eligible(tg, {n: every[n] for n in wanted})
+    same = F.coalesce(c("home_division") == c("away_division"), F.lit(False))
+    tg = tg.withColumns(
+        {
+            "divisional": same, "margin": c("line"), "thursday": (F.weekday("day") == 3).cast("int"), "foreign_venue": c("venue") % 7 == 0,
+            "travel_adv": (c("team") - c("opp")) * 100, "prohibited": c("team") % 11 == 3, "already_used": (c("team") + c("week")) % 13 == 0,
+            "consensus": (c("line") > 0) == (c("game_id") % 10 < 6),
+        }
+    )
+    return rows.eligible(tg, rows.pick_rules())
 
 
 _ADJ = """coalesce({r}, 0) + CASE WHEN {travel} < {lim} AND home % 3 <> 0 THEN {tv} ELSE 0 END + (spread / 2) * {z} + (home - away) * {sg} * {rest} + (week - 20) * {season} + CASE WHEN home % 5 <> 0 THEN {vp} * {vm} ELSE 0 END"""
@@ -356,20 +367,24 @@ def p21(spark, d):
     return rows.average_sources(g, ["home_rank", "spread"], "both")
 
 
-@case(
-    "p22_mismatch", "game_id:l Matchup_HomeOff_Run:d Matchup_AwayOff_Run:d Matchup_HomeOff_Pass:d",
-    q(GAMES, """SELECT game_id, total / 5000 - away_score AS "Matchup_HomeOff_Run", spread * 3 - home_score AS "Matchup_AwayOff_Run",
-      cust / 10.0 - week AS "Matchup_HomeOff_Pass" FROM games"""),
-)
+def _matchups() -> tuple[str, str]:
+    """Column kinds and SQL of every matchup category; the stand-in values differ per category."""
+    kinds, made = ["game_id:l"], ["game_id"]
+    for i, cat in enumerate(K.MATCHUP_CATEGORIES, 1):
+        kinds += [f"Matchup_HomeOff_{cat}:d", f"Matchup_AwayOff_{cat}:d"]
+        made += [f'total / {1001 * i} - (away_score + {i}) AS "Matchup_HomeOff_{cat}"', f'spread * {i} - (home_score - {i}) AS "Matchup_AwayOff_{cat}"']
+    return " ".join(kinds), f"SELECT {', '.join(made)} FROM games"
+
+
+@case("p22_mismatch", _matchups()[0], q(GAMES, _matchups()[1]))
 def p22(spark, d):
-    g = games(spark, d).withColumns(
-        {
-            "home_Off_Run_EPA_Pct": F.col("total") / 5000, "away_Def_Run_EPA_Pct": F.col("away_score").cast("double"),
-            "away_Off_Run_EPA_Pct": F.col("spread") * 3, "home_Def_Run_EPA_Pct": F.col("home_score").cast("double"),
-            "home_Off_Pass_EPA_Pct": F.col("cust") / 10, "away_Def_Pass_EPA_Pct": F.col("week").cast("double"),
+    made, c = {}, F.col
+    for i, cat in enumerate(K.MATCHUP_CATEGORIES, 1):
+        made |= {
+            f"home_Off_{cat}_EPA_Pct": c("total") / (1001 * i), f"away_Def_{cat}_EPA_Pct": (c("away_score") + i).cast("double"),
+            f"away_Off_{cat}_EPA_Pct": c("spread") * i, f"home_Def_{cat}_EPA_Pct": (c("home_score") - i).cast("double"),
         }
-    )
-    return rows.mismatch_features(g)
+    return rows.mismatch_features(games(spark, d).withColumns(made))
 
 
 @case(

@@ -37,5 +37,4 @@ def test_every_oracle_names_the_query_columns():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    without = set(CASES) - set(entry.oracle_sql())
-    assert without == {"i9_pick_model", "i10_feature_elimination", "i11_upset_model"}
+    assert set(CASES) <= set(entry.oracle_sql())
