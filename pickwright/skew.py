@@ -65,7 +65,7 @@ def heavy_cuts(df: DataFrame, group: Sequence[str], x: str, piece_rows: int) ->
     group is gathered. They are checkpointed: all uses must see the same cuts, whatever the order of merging.
     There is at most one row per ``piece_rows`` rows of the input.
     """
-    heavy = cut_lineage(df.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") > piece_rows).drop("_n"))
+    heavy = df.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") > piece_rows).drop("_n")
     if heavy.isEmpty():
         return None
     shares = [i / CUTS for i in range(1, CUTS)]
