@@ -4,12 +4,15 @@ DataFrame expressions only. Patterns find the protected entities (e-mail and net
 addresses, card and phone numbers). The corpus then says how much a term gives an
 entity away: over lines, PMI(term; entity) against IC(entity). Where the share
 PMI / IC reaches ``generalise_at`` the term is generalised beside that entity, where it
-reaches ``remove_at`` it is removed. Joint counts are over distinct lines, so copies of
-a document are one witness; counts of a term are over all lines, less the copies of joint ones.
+reaches ``remove_at`` it is removed. There is no least number of lines: an entity seen once is
+scored like any other, and a pair only has to be unlikely to meet so often by accident.
+Joint counts are over distinct lines, so copies of a document are one witness; counts of a term are over all lines, less the copies of joint ones.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +28,9 @@ PATTERNS = {
 }
 KINDS = [*PATTERNS, "term"]
 TERM = r"\p{L}{3,}+"
-MIN_SUPPORT, GENERALISE_AT, REMOVE_AT = 3, 0.9, 0.99
+#: A pair that independent lines would bring together as often with at least this probability tells nothing.
+CHANCE = 1e-3
+GENERALISE_AT, REMOVE_AT = 0.9, 0.99
 BROADCAST_ROWS = 200_000
 _STEP = 512
 SPAN_TYPE = "array<struct<kind:string,start:int,stop:int,value:string>>"
@@ -96,30 +101,45 @@ def _terms(line: Column, own: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(bare), F.lit(TERM), F.lit(0)))
 
 
-def disclosures(docs: DataFrame, lines: DataFrame, text: str, min_support: int, generalise_at: float) -> DataFrame:
+def held_entities(lines: DataFrame) -> DataFrame:
+    """(line, copies, words, e): each distinct line once for each entity in it, with the terms beside its entities."""
+    distinct = lines.groupBy("line").agg(F.first("own").alias("own"), F.count("*").alias("copies"))
+    entities = F.array_distinct(F.transform("own", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))
+    return distinct.select("line", "copies", _terms(F.col("line"), F.col("own")).alias("words"), F.explode(entities).alias("e"))
+
+
+def disclosures(docs: DataFrame, lines: DataFrame, text: str, chance: float, generalise_at: float) -> DataFrame:
     """(kind, value, term, share): terms whose PMI with an entity is at least that share of the entity's information.
 
-    An entity needs ``min_support`` distinct lines, a pair as many joint ones.
+    Every entity counts, with all its distinct lines. The probability that independent
+    lines bring a pair together so often (Chernoff's bound, exact for an entity that
+    never lacks the term) must be below ``chance``.
     """
-    distinct = lines.groupBy("line").agg(F.first("own").alias("own"), F.count("*").alias("copies"))
-    held = distinct.select("line", "own", "copies", F.explode(F.array_distinct(F.transform("own", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))).alias("e"))
-    often = held.groupBy("e").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= min_support)
-    pairs = held.join(often, "e").select("e", "n_e", "copies", F.explode(_terms(F.col("line"), F.col("own"))).alias("term"))
-    joint = stored(pairs.groupBy("e", "n_e", "term").agg(F.count("*").alias("n_te"), F.sum("copies").alias("all_te")).where(F.col("n_te") >= min_support), "joint-counts")
-    terms = broadcast_if(joint.select("term").distinct(), BROADCAST_ROWS)
+    held = held_entities(lines)
+    often = held.groupBy("e").agg(F.count("*").alias("n_e"))
+    met = held.select("e", "copies", F.explode("words").alias("term")).groupBy("e", "term").agg(F.count("*").alias("n_te"), F.sum("copies").alias("all_te"))
+    joint = stored(met.join(often, "e"), "joint-counts")
+    terms = joint.select(F.col("term").alias("__w")).distinct()
     each_line = docs.select(F.explode(F.split(text, "\n")).alias("line"))
     total = stored(docs.agg(F.sum(F.size(F.split(text, "\n")).cast("long")).alias("n")), "line-count")
     each = each_line.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(TERM), F.lit(0)))).alias("__w"))
-    seen = each.join(terms, F.col("__w") == F.col("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    # many terms: words are counted first, so that only counts meet them
+    few = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    each = each.join(F.broadcast(terms), "__w", "left_semi") if few else each
+    seen = each.groupBy(F.col("__w").alias("term")).agg(F.count("*").alias("n_t"))
     n = F.lit(total.first()["n"] or 0)
     # a line of the pair counts once on this side too
     n_t = F.greatest(F.col("n_t") - F.col("all_te") + F.col("n_te"), F.col("n_te"))
     ic, pmi = F.log(n / F.col("n_e")), F.log(F.col("n_te") * n / (F.col("n_e") * n_t))
     share = F.when(ic > 0, pmi / ic)
-    return joint.join(seen, "term").select(F.col("e")["kind"].alias("kind"), F.col("e")["value"].alias("value"), "term", share.alias("share")).where(F.col("share") >= generalise_at)
+    without, lacking = F.col("n_e") - F.col("n_te"), n - n_t
+    evidence = F.col("n_te") * pmi + F.when(without > 0, without * F.log(without * n / (F.col("n_e") * lacking))).otherwise(0.0)
+    kept = (F.col("share") >= generalise_at) & (F.col("evidence") > -math.log(chance))
+    scored = joint.join(seen, "term").select(F.col("e")["kind"].alias("kind"), F.col("e")["value"].alias("value"), "term", share.alias("share"), evidence.alias("evidence"))
+    return scored.where(kept).drop("evidence")
 
 
-def private_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_support: int = MIN_SUPPORT, generalise_at: float = GENERALISE_AT) -> DataFrame:
+def private_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chance: float = CHANCE, generalise_at: float = GENERALISE_AT) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, the text, ``base`` (entities) and ``terms`` (disclosing terms with their share in ``value``, as text).
 
     Null and empty texts have no spans. Rows with equal id and text are one document;
@@ -129,9 +149,11 @@ def private_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     own = docs.select(F.col(doc_id).alias("doc_id"), *row_key(doc_id, text), F.coalesce(F.col(text), F.lit("")).alias("__t"))
     found = find(own, "__t", list(PATTERNS), "base")
     lines = stored(entity_lines(found).distinct(), "entity-lines")
-    told = broadcast_if(stored(disclosures(docs, lines, text, min_support, generalise_at), "disclosures"), BROADCAST_ROWS)
-    held = lines.select("*", F.explode(F.array_distinct(F.transform("own", lambda s: F.struct(s["kind"].alias("k"), s["value"].alias("v"))))).alias("e"))
-    hot = held.join(told, (F.col("e")["k"] == F.col("kind")) & (F.col("e")["v"] == F.col("value"))).groupBy("__id", "__h", "at", "line", "own").agg(F.collect_set(F.struct("term", "share")).alias("told"))
+    told = broadcast_if(stored(disclosures(docs, lines, text, chance, generalise_at), "disclosures"), BROADCAST_ROWS)
+    # a line meets only what its own terms tell, so rows stay linear in an entity's lines
+    pairs = held_entities(lines).select("line", F.col("e")["kind"].alias("kind"), F.col("e")["value"].alias("value"), F.explode("words").alias("term"))
+    by_line = pairs.join(told, ["kind", "value", "term"]).groupBy("line").agg(F.collect_set(F.struct("term", "share")).alias("told"))
+    hot = lines.join(broadcast_if(stored(by_line, "told-lines"), BROADCAST_ROWS // 10), "line")
     marked = find(hot, "line", ["term"], "words")
     clear = lambda w: ~F.exists("own", lambda s: (s["start"] < w["stop"]) & (w["start"] < s["stop"]))
     share = lambda w: F.array_max(F.transform(F.filter("told", lambda t: t["term"] == F.lower(w["value"])), lambda t: t["share"]))
