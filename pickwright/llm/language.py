@@ -9,7 +9,7 @@ gram presence with the landmarks' grams and coefficients, batch by batch.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -21,6 +21,10 @@ from pickwright.llm.common import broadcast_if, map_texts
 SAMPLE, LANDMARKS, RIDGE = 400, 40, 1e-3
 BATCH = 128
 GRAMS = 64 + 64**2 + 64**3
+TRIGRAMS = GRAMS - 64**3
+#: A trigram is familiar from so many sample rows of a language. A text is in the language if its share of familiar ones
+#: reaches this part of what all but a few rows reach when left out, less three standard errors of the text's own share.
+SEEN_IN, FEW, OF_CLEAN, ERRORS = 2, 0.01, 0.75, 3.0
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -56,6 +60,8 @@ class Model:
     langs: list[str]
     place: np.ndarray  # gram -> row of weights, or -1
     weights: np.ndarray  # grams x languages
+    familiar: np.ndarray = field(default_factory=lambda: np.zeros((0, 64**3), bool))  # languages x trigrams
+    floors: list[float] = field(default_factory=list)  # least share of familiar trigrams, by language
 
     def outputs(self, texts: list[str]) -> np.ndarray:
         flags, out = np.zeros(GRAMS, bool), np.zeros((len(texts), len(self.langs)), np.float32)
@@ -70,6 +76,28 @@ class Model:
             out[at : at + BATCH] = present @ self.weights / norm[:, None]
         return out
 
+    def recognises(self, text: str, lang: str, flags: np.ndarray) -> bool:
+        """The text holds as many of the language's trigrams as rows of that language do. Texts of a few bytes prove nothing and pass."""
+        k = self.langs.index(lang)
+        g = grams(text, flags)
+        g = g[g >= TRIGRAMS] - TRIGRAMS
+        floor = self.floors[k]
+        return not len(g) or float(self.familiar[k][g].mean()) >= floor - ERRORS * (floor * (1 - floor) / len(g)) ** 0.5
+
+
+def familiarity(names: list[str], langs: list[str], held: list[np.ndarray]) -> tuple[np.ndarray, list[float]]:
+    """Trigrams familiar in each language, and the least share of them: from the shares of its rows, each measured without itself."""
+    familiar, floors = np.zeros((len(names), 64**3), bool), []
+    for k, name in enumerate(names):
+        rows = [g[g >= TRIGRAMS] - TRIGRAMS for g, x in zip(held, langs, strict=True) if x == name]
+        seen = np.zeros(64**3, np.int32)
+        for g in rows:
+            seen[g] += 1
+        familiar[k] = seen >= SEEN_IN
+        shares = [float((seen[g] > SEEN_IN).mean()) for g in rows if len(g)]
+        floors.append(OF_CLEAN * float(np.quantile(shares, FEW)) if shares else 0.0)
+    return familiar, floors
+
 
 def fit(langs: list[str], held: list[np.ndarray], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """Ridge regression in the span of the first ``landmarks`` rows of each language."""
@@ -102,7 +130,7 @@ def fit(langs: list[str], held: list[np.ndarray], landmarks: int = LANDMARKS, ri
     w = np.array([1 / langs.count(x) for x in langs])[:, None] * len(langs) / len(names)
     k_mm, k_nm = (base @ base.T).astype(float), near.astype(float)
     a = np.linalg.lstsq(k_nm.T @ (w * k_nm) + ridge * len(langs) * k_mm, k_nm.T @ (w * y), rcond=1e-10)[0]
-    return Model(names, place, (base.T @ a).astype(np.float32))
+    return Model(names, place, (base.T @ a).astype(np.float32), *familiarity(names, langs, held))
 
 
 def remainder(doc_id: str) -> Column:
@@ -147,3 +175,21 @@ def identify(docs: DataFrame, keep: list[str] | None = None, doc_id: str = "doc_
     keep = keep or [doc_id]
     own = docs.select(*keep, F.coalesce(remainder(doc_id) == 1, F.lit(False)).alias("held_out"), F.col(text).alias("__t"))
     return map_texts(own, [*keep, "held_out"], "__t", "lang_pred string, score double", lambda texts: predict_batch(model, texts))
+
+
+def recognise_batch(model: Model, texts: list[str | None]) -> dict[str, list]:
+    flags = np.zeros(GRAMS, bool)
+    made = predict_batch(model, texts)
+    made["recognised"] = [x != "und" and model.recognises(t, x, flags) for t, x in zip(texts, made["lang_pred"], strict=True)]
+    return made
+
+
+def recognised(docs: DataFrame, keep: list[str] | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> DataFrame:
+    """``keep`` (the id unless given), ``lang_pred`` and ``recognised`` for every row: is the text in its winning language at all?
+
+    The winning output can't tell: outputs of a text in no learned language are all near zero.
+    """
+    model = train(docs, doc_id, text, lang, sample)
+    keep = keep or [doc_id]
+    own = docs.select(*keep, F.col(text).alias("__t"))
+    return map_texts(own, keep, "__t", "lang_pred string, recognised boolean", lambda texts: recognise_batch(model, texts))

@@ -223,6 +223,19 @@ def test_quality_counts_and_held_out_verdicts(spark):
     assert all(r["kept"] for r in untaught) and quality.judge(docs(spark, []), labels).count() == 0
 
 
+def test_language_stage_drops_what_is_in_no_learned_language(spark):
+    rnd = random.Random(6)
+    parts = {"en": ["the", "ing", "tion", "er", "with", "and"], "de": ["der", "und", "heit", "für", "lich", "ver"], "fr": ["les", "être", "que", "où", "ment", "eau"], "es": ["los", "ción", "ñas", "que", "mente", "ado"]}
+    langs = [rnd.choice(list(parts)) for _ in range(300)]
+    word = lambda x: "".join(rnd.choice(parts[x]) for _ in range(rnd.randint(1, 3)))
+    texts = [" ".join(word(x) for _ in range(rnd.choice([1, 3, 10, 80]))) for x in langs]
+    noise = lambda letters, sizes: " ".join("".join(rnd.choice(letters) for _ in range(rnd.choice(sizes))) for _ in range(50))
+    foreign = [noise("абвгдежзиклмнопрст", [3, 6]), noise("αβγδεζηθικλ", [3, 6]), noise("日本語中文字漢", [2]), noise("bcdfghjklmnpqrstvwxz", [5, 7]), noise("abcdefghijklmnopqrstuvwxyz", [5, 7])]
+    foreign += [noise("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", [200]), "12 34", None]
+    df = docs(spark, [*texts, *foreign], langs=[*langs, *[None] * len(foreign)])
+    assert set(by_id(corpus_pipeline.keep_known_languages(spark, df, ""))) == set(range(300))
+
+
 def test_pipeline_stages_take_effect(spark, tmp_path):
     rnd = random.Random(4)
     words = [f"{a}{b}" for a in ("tan", "mor", "lis", "ve", "ku") for b in ("der", "no", "ti", "sha", "el", "um")]
