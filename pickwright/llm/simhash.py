@@ -13,6 +13,7 @@ so the work stays linear in the bucket and no link is lost.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -25,25 +26,35 @@ from pickwright.llm.components import components
 SLICE = 1 << 15
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """64 majority bits over the XXH64 (seed 42) of all word shingles, repeats included, as a signed number."""
+def digests(text: str | None, shingle: int) -> Iterator[bytes]:
+    """XXH64 (seed 42) of all word shingles, repeats included, as joined digests of at most SLICE shingles."""
     import xxhash
 
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = (ends - [len(w) + 1 for w in words]).tolist()
     n = max(1, len(words) - shingle + 1)
     stops = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
     data, digest = b" ".join(words), xxhash.xxh64_digest
-    ones = np.zeros(64, np.int64)
     for at in range(0, n, SLICE):
-        h = b"".join([digest(data[a:b], 42) for a, b in zip(starts[at : min(n, at + SLICE)], stops[at : at + SLICE])])
+        yield b"".join([digest(data[a:b], 42) for a, b in zip(starts[at : min(n, at + SLICE)], stops[at : at + SLICE])])
+
+
+def majority(parts: Iterable[bytes]) -> int:
+    ones, n = np.zeros(64, np.int64), 0
+    for h in parts:
+        n += len(h) // 8
         ones += np.unpackbits(np.frombuffer(h, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
 
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """64 majority bits over the XXH64 (seed 42) of all word shingles, repeats included, as a signed number."""
+    return majority(digests(text, shingle))
+
+
 def segments(distance: int) -> list[tuple[int, int]]:
     """(first bit, bits): so many segments that one of them has at most one differing bit."""
     n = max(2, distance // 2 + 1)

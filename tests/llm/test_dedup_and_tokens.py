@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from pickwright.llm import bpe, line_dedup, simhash, token_counts
+from pickwright.llm import bpe, line_dedup, near_texts, simhash, token_counts
 from pickwright.llm.components import components
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_lines string, at int, key string"
@@ -193,3 +193,28 @@ def test_fingerprint_in_slices_is_the_same(monkeypatch):
     whole = simhash.fingerprint(text)
     monkeypatch.setattr(simhash, "SLICE", 7)
     assert simhash.fingerprint(text) == whole
+
+
+@pytest.mark.parametrize("hot", [2, 32])
+def test_pipeline_stage_drops_texts_of_five_word_jaccard_08(spark, hot):
+    rnd = random.Random(12)
+    draw = lambda: f"w{rnd.randrange(10**6)}"
+    texts = list(ODD)
+    for _ in range(40):
+        words = [draw() for _ in range(200)]
+        for changed in (0, 2, 4, 7):
+            edited = list(words)
+            for at in range(changed):
+                edited[10 + 25 * at] = draw()
+            texts.append(" ".join(edited))
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset() for w in ((t or "").encode().lower().split() for t in texts)]
+    alike = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    groups = list(range(len(sets)))
+    for _ in sets:
+        for a, b in alike:
+            groups[a] = groups[b] = min(groups[a], groups[b])
+    got = sorted(r["doc_id"] for r in near_texts.representatives(docs(spark, texts), hot=hot).select("doc_id").collect())
+    if hot == 32:
+        assert got == sorted(set(groups))
+    assert set(groups) <= set(got) and len(got) <= len(set(groups)) + 3
+    assert near_texts.representatives(docs(spark, [])).count() == 0
