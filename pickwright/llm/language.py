@@ -180,6 +180,8 @@ def identify(docs: DataFrame, keep: list[str] | None = None, doc_id: str = "doc_
 def recognise_batch(model: Model, texts: list[str | None]) -> dict[str, list]:
     flags = np.zeros(GRAMS, bool)
     made = predict_batch(model, texts)
+    if not model.langs:
+        return made | {"recognised": [bool(t and _LETTER.search(t)) for t in texts]}
     made["recognised"] = [x != "und" and model.recognises(t, x, flags) for t, x in zip(texts, made["lang_pred"], strict=True)]
     return made
 
@@ -188,6 +190,7 @@ def recognised(docs: DataFrame, keep: list[str] | None = None, doc_id: str = "do
     """``keep`` (the id unless given), ``lang_pred`` and ``recognised`` for every row: is the text in its winning language at all?
 
     The winning output can't tell: outputs of a text in no learned language are all near zero.
+    Where no row could be learned from nothing can be told apart: every text with a letter is recognised, as ``und``.
     """
     model = train(docs, doc_id, text, lang, sample)
     keep = keep or [doc_id]

@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 from collections import Counter
 
 import corpus_pipeline
@@ -236,6 +237,14 @@ def test_language_stage_drops_what_is_in_no_learned_language(spark):
     assert set(by_id(corpus_pipeline.keep_known_languages(spark, df, ""))) == set(range(300))
 
 
+def test_language_stage_keeps_texts_where_nothing_is_learned(spark):
+    texts = ["the of and", "där ö", "12 34", None, "日本"]
+    stay = lambda df: set(by_id(corpus_pipeline.keep_known_languages(spark, df, "")))
+    assert stay(docs(spark, texts)) == {0, 1, 4}
+    held_out = [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 == 1][:5]
+    assert stay(docs(spark, texts, held_out, ["en"] * 5)) == {held_out[k] for k in (0, 1, 4)}
+
+
 def test_pipeline_stages_take_effect(spark, tmp_path):
     rnd = random.Random(4)
     words = [f"{a}{b}" for a in ("tan", "mor", "lis", "ve", "ku") for b in ("der", "no", "ti", "sha", "el", "um")]
