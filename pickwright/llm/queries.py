@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pickwright.llm import bpe, decontam, language, line_dedup, pii, quality, secret_scan, simhash, suffix_dedup, token_counts, toxicity
+from pickwright.llm import bpe, decontam, language, line_dedup, merkle, pii, quality, secret_scan, simhash, suffix_dedup, token_counts, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,9 +99,14 @@ FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN it ON d.doc_id = it.doc_
 """
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = merkle.verified(_docs(spark, sf_dir))
+    return told.select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("proof", ""), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_quality, op4_language, op5_bpe_roundtrip, op6_private_data, op7_repeated_bytes, op8_simhash, op9_secrets, op10_decontamination, op13_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_quality, op4_language, op5_bpe_roundtrip, op6_private_data, op7_repeated_bytes, op8_simhash, op9_secrets, op10_decontamination, op11_manifest, op13_toxicity)}
 ORACLES = {"op1_line_dedup": OP1_SQL, "op10_decontamination": OP10_SQL}
