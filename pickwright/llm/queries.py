@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pickwright.llm import bpe, decontam, language, line_dedup, merkle, pii, quality, secret_scan, simhash, suffix_dedup, token_counts, toxicity
+from pickwright.llm import bpe, conversation, decontam, language, line_dedup, merkle, pii, quality, secret_scan, simhash, suffix_dedup, token_counts, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,9 +104,15 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("proof", ""), 256).alias("proof_sha256"), "folded_root", "verified")
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hurt = conversation.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    told = conversation.digests(conversation.repair(hurt))
+    return told.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_quality, op4_language, op5_bpe_roundtrip, op6_private_data, op7_repeated_bytes, op8_simhash, op9_secrets, op10_decontamination, op11_manifest, op13_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_quality, op4_language, op5_bpe_roundtrip, op6_private_data, op7_repeated_bytes, op8_simhash, op9_secrets, op10_decontamination, op11_manifest, op12_conversations, op13_toxicity)}
 ORACLES = {"op1_line_dedup": OP1_SQL, "op10_decontamination": OP10_SQL}
