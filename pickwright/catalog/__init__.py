@@ -6,6 +6,6 @@ from pickwright.catalog.base import CASES
 
 
 def load() -> dict:
-    from pickwright.catalog import aggs, contest, joins, models, pipelines, rows, scalars, sets, sources, windows  # noqa: F401
+    from pickwright.catalog import aggs, contest, history, joins, models, pipelines, rows, scalars, sets, sources, windows  # noqa: F401
 
     return CASES

@@ -303,17 +303,18 @@ def a23(spark, d):
     return A.distinct_values(games(spark, d), ["season", "week"])
 
 
-def ratings_sql(passes: int, m: float, edges: str = "edges") -> list[str]:
-    """The passes as a recursion: r = own + m * opponents' r of the pass before; ``rated`` is the last one."""
+def ratings_sql(passes: int, m: float, edges: str = "edges", key: str = "") -> list[str]:
+    """The passes as a recursion: r = own + m * opponents' r of the pass before; ``rated`` is the last one. ``key`` is one more key column."""
+    k, own, same = (f"{key}, ", f"sh.{key}, ", f" AND p.{key} = sh.{key}") if key else ("", "", "")
     return [
-        f"tot AS MATERIALIZED (SELECT team, sum(weight) AS tw, sum(net_epa * weight) / sum(weight) AS be, sum(net_sr * weight) / sum(weight) AS bs FROM {edges} GROUP BY ALL)",
-        f"sh AS MATERIALIZED (SELECT team, opponent, sum(weight) / any_value(tw) AS s, any_value(be) AS be, any_value(bs) AS bs FROM {edges} JOIN tot USING (team) GROUP BY ALL)",
+        f"tot AS MATERIALIZED (SELECT {k}team, sum(weight) AS tw, sum(net_epa * weight) / sum(weight) AS be, sum(net_sr * weight) / sum(weight) AS bs FROM {edges} GROUP BY ALL)",
+        f"sh AS MATERIALIZED (SELECT {k}team, opponent, sum(weight) / any_value(tw) AS s, any_value(be) AS be, any_value(bs) AS bs FROM {edges} JOIN tot USING ({k}team) GROUP BY ALL)",
         f"""rated AS MATERIALIZED (WITH RECURSIVE p AS (
-          SELECT 1 AS i, team, be AS epa, bs AS sr, CAST(0 AS DOUBLE) AS epa_schedule FROM tot
+          SELECT 1 AS i, {k}team, be AS epa, bs AS sr, CAST(0 AS DOUBLE) AS epa_schedule FROM tot
           UNION ALL
-          SELECT any_value(p.i) + 1, sh.team, any_value(be) + {m} * sum(s * p.epa), any_value(bs) + {m} * sum(s * p.sr), sum(s * p.epa)
-          FROM sh JOIN p ON p.team = sh.opponent WHERE p.i < {passes} GROUP BY sh.team)
-          SELECT team, epa, sr, epa_schedule FROM p WHERE i = {passes})""",
+          SELECT any_value(p.i) + 1, {own}sh.team, any_value(be) + {m} * sum(s * p.epa), any_value(bs) + {m} * sum(s * p.sr), sum(s * p.epa)
+          FROM sh JOIN p ON p.team = sh.opponent{same} WHERE p.i < {passes} GROUP BY {own}sh.team)
+          SELECT {k}team, epa, sr, epa_schedule FROM p WHERE i = {passes})""",
     ]
 
 
@@ -342,20 +343,21 @@ def a22(spark, d):
     return A.home_split(e, ratings)
 
 
-def _adjusted_sql(side: str, me: str, them: str) -> str:
+def adjusted_sql(side: str, me: str, them: str, key: str = "") -> str:
     sign = "-" if side == "Defense" else ""
-    return f"""SELECT *, '{side}' AS side, 100 * cume_dist() OVER (PARTITION BY category ORDER BY {sign}epa) AS epa_pct, 100 * cume_dist() OVER (PARTITION BY category ORDER BY {sign}sr) AS sr_pct FROM (
-      SELECT category, fan.{me} AS team, count(*) AS plays, sum(w) AS weight_score,
+    k, league = (f"{key}, ", f"JOIN lg USING ({key})") if key else ("", ", lg")
+    return f"""SELECT *, '{side}' AS side, 100 * cume_dist() OVER (PARTITION BY {k}category ORDER BY {sign}epa) AS epa_pct, 100 * cume_dist() OVER (PARTITION BY {k}category ORDER BY {sign}sr) AS sr_pct FROM (
+      SELECT {k}category, fan.{me} AS team, count(*) AS plays, sum(w) AS weight_score,
         sum(w * (x - CASE WHEN sw >= 30 THEN oe - le ELSE 0 END + CASE WHEN fan.team = home THEN -0.04 ELSE 0.04 END)) / sum(w) AS epa,
         sum(w * (success - CASE WHEN sw >= 30 THEN os - ls ELSE 0 END)) / sum(w) AS sr
-      FROM fan JOIN (SELECT category, {them}, sum(w) AS sw, sum(x * w) / sum(w) AS oe, sum(success * w) / sum(w) AS os FROM fan GROUP BY ALL) s USING (category, {them}), lg
-      GROUP BY category, fan.{me} HAVING sum(w) >= 30)"""
+      FROM fan JOIN (SELECT {k}category, {them}, sum(w) AS sw, sum(x * w) / sum(w) AS oe, sum(success * w) / sum(w) AS os FROM fan GROUP BY ALL) s USING ({k}category, {them}) {league}
+      GROUP BY {k}category, fan.{me} HAVING sum(w) >= 30)"""
 
 
 @case(
     "i2_opponent_adjusted", "category:s side:s team:l plays:l weight_score:d epa:d sr:d epa_pct:d sr_pct:d",
     q(GAMES, PLAYS.replace("CAST(0.00475 AS DOUBLE)", "CAST(0.0005 AS DOUBLE)"), FAN_SQL, "lg AS (SELECT sum(x * w) / sum(w) AS le, sum(success * w) / sum(w) AS ls FROM plays)",
-      _adjusted_sql("Offense", "team", "opp") + " UNION ALL " + _adjusted_sql("Defense", "opp", "team")),
+      adjusted_sql("Offense", "team", "opp") + " UNION ALL " + adjusted_sql("Defense", "opp", "team")),
 )
 def i2(spark, d):
     p = plays(spark, d).withColumn("w", rating.time_decay(F.col("day"), F.lit("2001-12-31").cast("date"), 0.0005))

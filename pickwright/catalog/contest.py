@@ -141,6 +141,20 @@ def i4_nations(spark, d):
     return scenarios.scenario_ev(nations(spark, d), ["region"], "game", "a", "b", "p", None, "ka", "kb")
 
 
+SHARELESS = NATIONS.replace("nat AS", "nat0 AS") + ", nat AS (SELECT * REPLACE (CASE WHEN region = 2 THEN 0 ELSE ka END AS ka, CASE WHEN region = 2 THEN 0 ELSE kb END AS kb) FROM nat0)"
+
+
+@case(
+    "i4_scenario_ev_no_shares", "region:l game:l team:s ev:d",
+    q(SHARELESS, OUTCOMES, "w AS (SELECT region, scenario, product(CASE WHEN first_wins THEN p ELSE 1 - p END) AS w, sum(CASE WHEN first_wins THEN ka ELSE kb END) AS s FROM sc GROUP BY ALL)",
+      """SELECT region, game, CASE WHEN first_wins THEN a ELSE b END AS team, sum(CASE WHEN s > 0 THEN w / s ELSE 0 END) AS ev FROM sc JOIN w USING (region, scenario) GROUP BY ALL"""),
+)
+def i4_no_shares(spark, d):
+    none = F.col("region") == 2
+    n = nations(spark, d).withColumns({c: F.when(none, 0.0).otherwise(F.col(c)) for c in ("ka", "kb")})
+    return scenarios.scenario_ev(n, ["region"], "game", "a", "b", "p", None, "ka", "kb")
+
+
 @case(
     "i5_pair_ev", "season:l week:l game_id:l team:s ev:d2",
     q(GAMES, WEEK_GAMES, """s AS (SELECT season, week, game_id, a AS team, CASE WHEN ka > 0 THEN p / ka ELSE 0 END AS r FROM wg UNION ALL

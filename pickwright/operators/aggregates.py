@@ -351,6 +351,29 @@ def availability(picks: DataFrame, teams: DataFrame, week: int, keys: Sequence[s
     return out.where(F.col("alive") > 0).withColumn("availability", left / F.col("alive"))
 
 
+def availability_by_week(picks: DataFrame, teams: DataFrame, weeks: int, keys: Sequence[str] = (), entry: str = "entry") -> DataFrame:
+    """:func:`availability` at the start of every week at once: (keys, week, team), entries_used, alive, availability.
+
+    An entry with W wins that first used a team in week f counts against it in the weeks f + 1 to W + 1. So entries are
+    counted per (team, f, W), each count is added where its weeks begin and taken off where they end, and a
+    running sum over the weeks gives all of them; no row is made per entry and week.
+    """
+    k = list(keys)
+    own = picks.where(not_null([*k, entry]))
+    wins = F.coalesce("total_wins", F.lit(0))
+    first = own.where(not_null(["team", "week"])).groupBy(*k, entry, "team").agg(F.min("week").alias("_f"), F.max(wins).alias("_w"))
+    cells = first.where("_f <= _w").groupBy(*k, "team", "_f", "_w").agg(F.count("*").alias("_n"))
+    marks = F.array(F.struct(F.greatest(F.col("_f") + 1, F.lit(1)).alias("week"), F.col("_n").alias("_d")), F.struct((F.col("_w") + 2).alias("week"), (-F.col("_n")).alias("_d")))
+    steps = cells.select(*k, "team", F.inline(marks)).groupBy(*k, "team", "week").agg(F.sum("_d").alias("_d"))
+    grid = teams.select(*k, "team").distinct().withColumn("week", F.explode(F.sequence(F.lit(1), F.lit(weeks))))
+    sofar = cell_order([*k, "team"], "week")  # one row per week
+    used = grid.join(steps, [*k, "team", "week"], "left").withColumn("entries_used", F.sum(F.coalesce("_d", F.lit(0))).over(sofar)).drop("_d")
+    entries = own.groupBy(*k, entry).agg(F.max(wins).alias("total_wins"))
+    alive = alive_by_week(entries, k, "total_wins", weeks)
+    out = used.join(alive, [*k, "week"]).where("alive > 0")
+    return out.withColumn("availability", (F.col("alive") - F.col("entries_used")) / F.col("alive"))
+
+
 def region_summary(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
     return df.where(not_null([key])).groupBy(key).agg(F.count("*").alias("teams"), *[F.avg(c).alias(f"at_{c}") for c in cols])
 

@@ -52,7 +52,7 @@ def scenario_ev(
     is too large: 1/S is an integral of exp(-S*t), and for fixed t the outcomes of different
     games factorise. Per node t the group needs the sum of log(p e^-at + q e^-bt) over its
     games (one partial aggregation); a team's value is then a sum over the nodes. An outcome
-    that leaves nobody alive counts 0.
+    that leaves nobody alive counts 0, and so does every team of a group in which no side has a share.
     """
     g = list(group)
     pa = F.col(p_a)
@@ -70,6 +70,7 @@ def scenario_ev(
         F.min(tiny).alias("_small"), F.sum(F.greatest("_a", "_b")).alias("_scale"),
         F.sum(F.when(dead > 0, F.log(dead)).otherwise(0.0)).alias("_dead_log"), F.sum(F.when(dead > 0, 0).otherwise(1)).alias("_safe"),
     )
+    worthless = rows.join(span.where(F.col("_small").isNull()).select(*g), g).select(*g, game, "_ta", "_tb", F.lit(0.0).alias("_ea"), F.lit(0.0).alias("_eb"))
     span = span.where(F.col("_small").isNotNull()).select(
         *g, "_dead_log", "_safe", "_scale",
         F.ceil((F.lit(NODE_HIGH) + F.log(F.col("_scale") / F.col("_small"))) / STEP).cast("int").alias("_to"),
@@ -107,7 +108,7 @@ def scenario_ev(
         alone = F.exp(F.col("_l") - log_factor(t) - F.col(pick) * t)
         return F.sum(weight * (alone - gone)) * F.first(F.col(win) / F.col("_scale"))
 
-    valued = again.groupBy(*g, game, "_ta", "_tb").agg(value("_p", "_a").alias("_ea"), value("_q", "_b").alias("_eb"))
+    valued = again.groupBy(*g, game, "_ta", "_tb").agg(value("_p", "_a").alias("_ea"), value("_q", "_b").alias("_eb")).unionByName(worthless)
     return to_team_long(valued, [*g, game], {"team": ("_ta", "_tb"), "ev": ("_ea", "_eb")}).select(*g, game, "team", "ev")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pickwright import constants as K
 from pickwright.functions import rating
 from pickwright.operators import aggregates as A
-from pickwright.operators.iterative import iterative_rating, opponent_adjusted
+from pickwright.operators.iterative import adjust_cells, anchor_place, anchored_sums, category_cells, iterative_rating
 from pickwright.operators.joins import enrich, join_compare, pair_sides
 from pickwright.operators.rows import filter_events, play_categories
 from pickwright.session import cut_lineage
@@ -141,8 +141,9 @@ def team_strengths(
 ) -> DataFrame:
     """Adjusted category strengths of every anchor season in one job.
 
-    A season's window holds its own and the ``seasons_back`` seasons before it, up to its
-    anchor date; the window's season is a key, so no season is a separate run.
+    A season's window holds its own and the ``seasons_back`` seasons before it, up to its anchor date. Windows
+    overlap, but plays are fanned out to their categories and summed once, per season and interval between anchor
+    dates; the windows' sums are put together from those.
     """
     c = F.col
     kept = filter_events(plays, "wp", kind="play_type", kinds=SCRIMMAGE, not_null=["epa", "posteam", "defteam"])
@@ -153,13 +154,15 @@ def team_strengths(
         kept = enrich(kept, positions, ["receiver_player_id"])
     elif "receiver_pos" not in kept.columns:
         kept = kept.withColumn("receiver_pos", F.lit(None).cast("string"))
-    windows = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(d).cast("date").alias("d")) for s, d in sorted(anchors.items())])
-    mine = F.filter(windows, lambda a: (a["s"] >= c("season")) & (a["s"] <= c("season") + seasons_back) & (a["d"] >= c("game_date")))
-    copied = kept.withColumn("_a", F.explode(mine)).withColumn("rating_season", c("_a.s"))
-    copied = copied.withColumn("w", rating.time_decay(c("game_date"), c("_a.d"), decay)).drop("_a")
-    return opponent_adjusted(
-        copied, play_categories(copied.columns), "posteam", "defteam", {"epa": "epa", "sr": "success"}, "w",
-        F.coalesce(c("posteam") == c("home_team"), F.lit(False)), keys=["rating_season"], home_effect={"epa": K.HOME_EPA},
+    values = {"epa": "epa", "sr": "success"}
+    at_home = F.coalesce(c("posteam") == c("home_team"), F.lit(False))
+    cells, league = category_cells(
+        anchor_place(kept, anchors, "game_date", decay), play_categories(kept.columns), "posteam", "defteam", values, "w", at_home, ["season", "_at"]
+    )
+    group = ["category", "posteam", "defteam", "_home"]
+    return adjust_cells(
+        anchored_sums(cells, anchors, seasons_back, group, list(values), decay), anchored_sums(league, anchors, seasons_back, [], list(values), decay),
+        "posteam", "defteam", list(values), ["rating_season"], {"epa": K.HOME_EPA},
     )
 
 
