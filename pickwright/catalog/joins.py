@@ -126,6 +126,26 @@ def j8(spark, d):
     return priced(spark, d)
 
 
+# tens of thousands of unevenly spaced keys, some of them in one segment only
+NEAREST = """keys AS (SELECT l_returnflag AS mode, l_extendedprice AS price, count(*) AS n, min(l_orderkey) AS least FROM lineitem GROUP BY ALL),
+  asked AS (SELECT o_orderkey, o_totalprice / 3 AS x, ['A', 'N', 'R', 'X'][CAST(o_custkey % 4 + 1 AS INT)] AS mode FROM orders),
+  b AS (SELECT a.*, k.price AS lo, k.n AS ln, k.least AS ll FROM asked a ASOF LEFT JOIN keys k ON a.mode = k.mode AND a.x >= k.price),
+  c AS (SELECT b.*, k.price AS hi, k.n AS hn, k.least AS hl FROM b ASOF LEFT JOIN keys k ON b.mode = k.mode AND b.x <= k.price),
+  d AS (SELECT *, hi IS NULL OR (lo IS NOT NULL AND x - lo <= hi - x) AS low FROM c)"""
+
+
+@case(
+    "j8_nearest_keys", "o_orderkey:l mode:s x:d4 price:d4 n:l least:l",
+    q(NEAREST, "SELECT o_orderkey, mode, x, CASE WHEN low THEN lo ELSE hi END AS price, CASE WHEN low THEN ln ELSE hn END AS n, CASE WHEN low THEN ll ELSE hl END AS least FROM d"),
+)
+def j8_keys(spark, d):
+    li = table(spark, d, "lineitem")
+    known = li.groupBy(F.col("l_returnflag").alias("mode"), F.col("l_extendedprice").alias("price")).agg(F.count("*").alias("n"), F.min("l_orderkey").alias("least"))
+    modes = F.array(*[F.lit(m) for m in ("A", "N", "R", "X")])
+    asked = table(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") / 3).alias("x"), F.element_at(modes, (F.col("o_custkey") % 4 + 1).cast("int")).alias("mode"))
+    return joins.nearest_join(asked, known, "x", "price", ["n", "least"], ["mode"])
+
+
 @case(
     "j9_join_compare", "team:l line_own:d line_other:d",
     q(GAMES, TEAM_GAMES, """SELECT a.team, a.line AS line_own, b.line AS line_other FROM (SELECT team, avg(line) AS line FROM tg WHERE season < 1998 GROUP BY ALL) a

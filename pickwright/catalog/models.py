@@ -43,6 +43,27 @@ def i9(spark, d):
     return models.predict_picks(fitted, rows).withColumns({"in_range": inside, "fits": F.lit(fitted.mae < 0.012)})
 
 
+_FOLD_SQL = "CAST('0x' || substr(md5(season || '-' || week || '-' || team), 1, 8) AS BIGINT) % 3"
+
+
+@case(
+    "i9_stacked_model", "fold:l n:l n_public:l mean_win:d base_fits:b final_fits:b held_out:b",
+    q(GAMES, TEAM_GAMES, "c AS (SELECT season, week, team, avg(win) AS win FROM tg GROUP BY ALL)", f"f AS (SELECT *, {_FOLD_SQL} AS fold FROM c)",
+      "SELECT fold, count(*) AS n, count(*) FILTER (team % 4 <> 0) AS n_public, avg(win) AS mean_win, true AS base_fits, true AS final_fits, true AS held_out FROM f GROUP BY ALL"),
+)
+def i9_stacked(spark, d):
+    """Folds, their sizes and means by SQL. Both forests must beat the best constant twice over on rows they have not
+    seen, and out-of-fold predictions must be worse than those of a forest that has seen the rows."""
+    public = F.when(F.col("team") % 4 != 0, F.col("pick_share") * 0.8 + (F.col("team") % 5) * 0.004)
+    rows = cut_lineage(pick_features(spark, d).withColumn("public_pick", public))
+    made = models.train_stacked_model(rows, FEATURES, "public_pick", "pick_share", ["season", "week", "team"], trees=20)
+    middle = rows.select(F.median("pick_share")).scalar()
+    constant = rows.select(F.avg(F.abs(F.col("pick_share") - middle))).first()[0]
+    seen = made.predict(made.rows.drop("base_pick")).select(F.avg(F.abs(F.col("base_pick") - F.col("pick_share")))).first()[0]
+    told = made.rows.groupBy("fold").agg(F.count("*").alias("n"), F.count("public_pick").alias("n_public"), F.avg("win").alias("mean_win"))
+    return told.withColumns({"base_fits": F.lit(made.base.mae < constant / 2), "final_fits": F.lit(made.final.mae < constant / 2), "held_out": F.lit(seen < made.base.mae)})
+
+
 #: Columns that carry nothing about the target: with the real ones they make up the thirty features.
 NOISE = [f"noise_{i}" for i in range(30 - len(FEATURES))]
 

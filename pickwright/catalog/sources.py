@@ -43,6 +43,24 @@ def s3(spark, d):
     return spark.read.parquet(path)
 
 
+STACKED = {f"{s}_{c}_{m}": (s, c, m) for s in ("Offense", "Defense") for c in ("Early", "Late") for m in ("Line", "Win")}
+_CELL = lambda s, c, m: f"avg({m.lower()}) FILTER ({'' if s == 'Defense' else 'NOT '}is_away AND week {'<=' if c == 'Early' else '>'} 26)"
+
+
+@case(
+    "s1_stacked_header", "Team:s " + " ".join(f"{n}:d" for n in STACKED),
+    q(GAMES, TEAM_GAMES, "SELECT 'T' || team AS \"Team\", " + ", ".join(f'{_CELL(*labels)} AS "{n}"' for n, labels in STACKED.items()) + " FROM tg GROUP BY ALL"),
+)
+def s1_stacked(spark, d):
+    """Written with a header of three levels and an index line, read back by it."""
+    path = fresh_path(spark, "stacked")
+    tg = team_games(spark, d).withColumns({"side": F.when(F.col("is_away"), "Defense").otherwise("Offense"), "part": F.when(F.col("week") <= 26, "Early").otherwise("Late")})
+    cell = lambda s, c, m: F.avg(F.when((F.col("side") == s) & (F.col("part") == c), F.col(m.lower())))
+    wide = tg.groupBy(F.concat(F.lit("T"), "team").alias("Team")).agg(*[cell(*labels).alias(n) for n, labels in STACKED.items()])
+    sinks.write_stacked(wide, path, "Team", STACKED, ["Side", "Category", "Metric"])
+    return scans.read_stacked(spark, path, header=4)
+
+
 @case(
     "s4_html_rows", "page_id:l cell_0:s stars:d n:l",
     """WITH r AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<li\\b[^>]*>.*?</li>')) AS row FROM pages),
@@ -56,6 +74,34 @@ def s4(spark, d):
     return rows.groupBy("page_id", "cell_0", "stars").agg(F.count("*").alias("n"))
 
 
+# every link of a page as a table row, some of them with a table inside, unclosed cells, or a comment around a row
+_ROW_PARTS = (
+    "'<!-- <tr><td>a<td>b<td>c<td>d<td>e</tr> --><TR class=x><td> ' || (page_id % 7) || '</td><td>' || i || '%<td><b>' || t || '</b></td>'",
+    "CASE WHEN i % 3 = 0 THEN '<td>outer <table><tr><th>p</th><th>q<th>' || t || '</th><th>r</th><th>s</th></tr></table> end</td>' ELSE '<td>plain' END",
+    "'<td>last</td>'", "CASE WHEN i % 2 = 0 THEN '<td><div style=\"width: ' || (i * 16) || 'px\"></div></td>' ELSE '' END", "CASE WHEN i % 4 = 1 THEN '' ELSE '</tr>' END",
+)
+
+
+@case(
+    "s4_table_rows", "page_id:l cell_0:s cell_1:s cell_2:s cell_3:s cell_4:s stars:d n:l",
+    r"""WITH l AS (SELECT page_id, regexp_extract_all(html, '(?is)<a\b[^>]*>.*?</a>') AS links FROM pages),
+      t AS (SELECT page_id, generate_subscripts(links, 1) AS i, unnest(links) AS link FROM l),
+      u AS (SELECT page_id, i, regexp_replace(link, '<[^>]*>', '', 'g') AS t FROM t),
+      r AS (SELECT page_id, ' ' || (page_id % 7) AS cell_0, i || '%' AS cell_1, t AS cell_2, CASE WHEN i % 3 = 0 THEN 'outer  end' ELSE 'plain' END AS cell_3, 'last' AS cell_4,
+          CASE WHEN i % 2 = 0 THEN CAST(i AS DOUBLE) ELSE 0 END AS stars FROM u
+        UNION ALL SELECT page_id, 'p', 'q', t, 'r', 's', 0 FROM u WHERE i % 3 = 0)
+      SELECT page_id, cell_0, cell_1, cell_2, cell_3, cell_4, stars, count(*) AS n FROM r GROUP BY ALL""",
+)
+def s4_tables(spark, d):
+    links = table(spark, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<a\b[^>]*>.*?</a>"), F.lit(0))).alias("i", "link"))
+    named = links.select("page_id", (F.col("i") + 1).alias("i"), F.regexp_replace("link", "<[^>]*>", "").alias("t"))
+    lines = named.select("page_id", "i", F.concat(*[F.expr(p) for p in _ROW_PARTS]).alias("line"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda r: r["line"]), "")  # the links of one page
+    pages = lines.groupBy("page_id").agg(F.concat(F.lit("<html><table>"), text, F.lit("</table></html>")).alias("html"))
+    cells = [f"cell_{i}" for i in range(5)]
+    return scans.extract_table_rows(pages).groupBy("page_id", *cells, "stars").agg(F.count("*").alias("n"))
+
+
 @case(
     "s5_odds_json", "home_team:s away_team:s commence_time:s home_price:d away_price:d home_spread:d away_spread:d",
     """WITH e AS (SELECT 'H' || (user_id % 8) AS home_team, 'A' || (user_id % 5) AS away_team,
@@ -89,10 +135,10 @@ def s5(spark, d):
 def s6(spark, d):
     path = fresh_path(spark, "history")
     g = games(spark, d).withColumnRenamed("season", "year")
-    sinks.overwrite_partition(g.select("year", "game_id", "total"), path, ["game_id"])
+    sinks.overwrite_partition(g.select("year", "game_id", "total"), path, ["game_id"], ["total"])
     new = g.where((F.col("year") == 2001) & F.col("home_score").isNotNull()).withColumn("total", F.col("total") * 2)
     new = new.select("year", "game_id", "total")
-    sinks.overwrite_partition(new.unionAll(new), path, ["year", "game_id"], order=["total"])
+    sinks.overwrite_partition(new.unionAll(new), path, ["year", "game_id"], ["total"])
     return spark.read.parquet(path)
 
 

@@ -61,7 +61,7 @@ def iterative_rating(
         sizes = shares.groupBy(*k, node).agg(F.count("*").alias("_p")).groupBy(*k).agg(F.count("*").cast("double").alias("_n"), F.sum("_p").alias("_p"))
         work, rows = sizes.agg(F.sum(F.pow("_n", F.lit(3.0))), F.sum(F.pow("_n", F.lit(2.0)))).first()
         if work is not None and work <= squared:
-            return _by_doubling(shares, node, opponent, list(values), multiplier, iterations, k, rows <= SENT)
+            return _by_doubling(shares, node, opponent, list(values), multiplier, iterations, k, rows <= SENT, 2 if work <= squared / 16 else 1)
     rated = shares.groupBy(*k, node).agg(
         *[F.first(f"_{n}_own").alias(n) for n in values], *[F.first(F.lit(0.0)).alias(f"{n}_schedule") for n in values]
     )
@@ -81,7 +81,7 @@ def iterative_rating(
     return rated
 
 
-def _by_doubling(shares: DataFrame, node: str, opponent: str, names: Sequence[str], multiplier: float, iterations: int, k: list[str], small: bool) -> DataFrame:
+def _by_doubling(shares: DataFrame, node: str, opponent: str, names: Sequence[str], multiplier: float, iterations: int, k: list[str], small: bool, cut_every: int) -> DataFrame:
     """``iterations`` passes in as many joins as the number has binary digits and further ones.
 
     A run of passes is one table of (keys, node, part, other, x): part 0 is the matrix, which takes other nodes'
@@ -102,14 +102,15 @@ def _by_doubling(shares: DataFrame, node: str, opponent: str, names: Sequence[st
         right = (first if whole else first.where("_part > 0")).withColumnRenamed("_node", "_via")
         met = left.join(F.broadcast(right) if small else right, [*k, "_via"])
         moved = met.select(*k, "_node", "_part", "_other", (F.col("_q") * F.col("_x")).alias("_x"))
-        return cut_lineage(moved.unionByName(last.where("_part > 0")).groupBy(*k, "_node", "_part", "_other").agg(F.sum("_x").alias("_x")))
-
-    run, digits = one, bin(iterations)[3:]
-    for i, digit in enumerate(digits):
-        ends = i == len(digits) - 1
-        run = after(run, run, not ends or digit == "1")
-        if digit == "1":
-            run = after(one, run, not ends)
+        return moved.unionByName(last.where("_part > 0")).groupBy(*k, "_node", "_part", "_other").agg(F.sum("_x").alias("_x"))
+
+    # a digit doubles the run so far, and a one adds a pass to it
+    steps = [double for digit in bin(iterations)[3:] for double in ([True, False] if digit == "1" else [True])]
+    run = one
+    for i, double in enumerate(steps, 1):
+        run = after(run if double else one, run, i < len(steps))
+        if i % cut_every == 0 or i == len(steps):
+            run = cut_lineage(run)
     both = run.where("_part > 0").unionByName(one.where("_part > 0").withColumn("_part", -F.col("_part")))
     at = lambda i: F.sum(F.when(F.col("_part") == i, F.col("_x")))
     out = both.groupBy(*k, F.col("_node").alias(node))

@@ -5,12 +5,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pickwright import constants as K
 from pickwright.operators.rows import to_team_long
-from pickwright.skew import add_group_stats
+from pickwright.session import cut_lineage
+from pickwright.skew import add_group_stats, cut_pieces, nan_to_null, not_null
 
 
 def _prefixed(dim: DataFrame, key: str, cols: Sequence[str], prefix: str, on: str) -> DataFrame:
@@ -117,6 +118,44 @@ def price_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "spread_key double, favorite_price int, underdog_price int")
 
 
+def nearest_join(
+    df: DataFrame, table: DataFrame, x: str, key: str, cols: Sequence[str], keys: Sequence[str] = (), piece_rows: int = 1_000_000
+) -> DataFrame:
+    """Every row of ``df`` beside the ``table`` row whose ``key`` is nearest to ``x``, within equal ``keys``; the lower key on a tie.
+
+    For key tables of any size: rows and keys are put in one order, each row takes the last key before and the first
+    key after it, and the nearer one stays. The order is cut by rank into pieces of about ``piece_rows`` rows, and a
+    piece takes the keys beyond its edges from a table with one row per piece, so no group is one task. Adds ``key`` and
+    ``cols``, null where ``x`` is null or NaN, or there is no key. Of equal keys the least row is taken; null ones never.
+    """
+    k = list(keys)
+    group = k or ["_all"]
+    hit = F.struct(*[F.col(c) for c in (key, *cols)])
+    # of rows with one key the least, so that every task sees the same one
+    known = nan_to_null(table, [key]).where(not_null([*k, key])).groupBy(*k, F.col(key).cast("double").alias("_at")).agg(F.min(hit).alias("_hit"))
+    place = F.col(x).cast("double")
+    asked = df.select(*k, F.when(~F.isnan(place), place).alias("_at"), F.struct(*df.columns).alias("_row"))
+    no_row, no_hit = (F.lit(None).cast(t.schema[c].dataType) for t, c in ((asked, "_row"), (known, "_hit")))
+    lines = known.withColumn("_row", no_row).unionByName(asked.where(not_null([*k, "_at"])).withColumn("_hit", no_hit))
+    lines = lines.withColumns({"_all": F.lit(0), "_tie": F.xxhash64("_row")})
+    placed = cut_lineage(cut_pieces(lines, group, ["_at", "_tie"], piece_rows))
+    # rows of one place are peers, so a key at the row's own place counts for both sides; a frame that ends
+    # at the row is extended row by row, so the next key is the last one in falling order
+    own = F.when(F.col("_hit").isNotNull(), F.struct("_at", "_hit"))
+    piece = Window.partitionBy(*group, "_piece")
+    sofar = lambda order: F.last(own, ignorenulls=True).over(piece.orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    before, after = sofar(F.asc("_at")), sofar(F.desc("_at"))
+    edges = placed.groupBy(*group, "_piece").agg(F.max(own).alias("_high"), F.min(own).alias("_low"))
+    others = lambda c, order: F.last(c, ignorenulls=True).over(Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    beyond = edges.select(*group, "_piece", others("_high", F.asc("_piece")).alias("_under"), others("_low", F.desc("_piece")).alias("_over"))
+    met = placed.withColumns({"_b": before, "_a": after}).where("_row is not null").join(beyond, [*group, "_piece"])
+    met = met.withColumns({"_b": F.coalesce("_b", "_under"), "_a": F.coalesce("_a", "_over")})
+    low = F.col("_a").isNull() | (F.col("_b").isNotNull() & (F.col("_at") - F.col("_b._at") <= F.col("_a._at") - F.col("_at")))
+    found = met.select("_row", F.when(low, F.col("_b._hit")).otherwise(F.col("_a._hit")).alias("_hit"))
+    rest = asked.where(~not_null([*k, "_at"])).select("_row", no_hit.alias("_hit"))
+    return found.unionByName(rest).select(*[F.col(f"_row.{c}").alias(c) for c in df.columns], *[F.col(f"_hit.{c}").alias(c) for c in (key, *cols)])
+
+
 def nearest_lookup(df: DataFrame, spread: str, home_price: str, away_price: str) -> DataFrame:
     """Fill two missing prices from the spread: nearest half point, favourite by the sign.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
@@ -11,9 +12,11 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pickwright.session import cut_lineage
+
 
 @dataclass
 class FittedModel:
@@ -54,6 +57,54 @@ def predict_picks(fitted: FittedModel, df: DataFrame, out: str = "pick_pct") ->
     return fitted.model.transform(ready).withColumnRenamed("prediction", out).drop("features")
 
 
+def fold_of(id_cols: Sequence[str], folds: int) -> Column:
+    """A row's fold from the md5 of its id, so that any engine can tell it."""
+    digits = F.substring(F.md5(F.concat_ws("-", *[F.col(c).cast("string") for c in id_cols])), 1, 8)
+    return F.pmod(F.conv(digits, 16, 10).cast("long"), F.lit(folds)).cast("int")
+
+
+@dataclass
+class StackedModel:
+    base: FittedModel
+    final: FittedModel
+    public: str
+    #: Training rows with their fold and the prediction of a base forest that never saw the fold.
+    rows: DataFrame
+
+    def predict(self, df: DataFrame, out: str = "pick_pct") -> DataFrame:
+        """The final forest where the public share is known, the base forest elsewhere."""
+        marked = df.withColumn("_known", F.col(self.public))  # missing features become 0 on the way
+        scored = predict_picks(self.final, predict_picks(self.base, marked, "base_pick"), "_final")
+        picked = F.when(F.col("_known").isNotNull(), F.col("_final")).otherwise(F.col("base_pick"))
+        return scored.withColumns({out: picked, self.public: F.col("_known")}).drop("_final", "_known")
+
+
+def train_stacked_model(
+    df: DataFrame, features: Sequence[str], public: str, target: str, id_cols: Sequence[str], folds: int = 3, trees: int = 50, seed: int = 42
+) -> StackedModel:
+    """A forest on the features, and one on the features, the public share and the first one's prediction.
+
+    The second forest learns from rows with a public share only. Its ``base_pick`` is out of fold: each fold is predicted by
+    a base forest trained on the others, so no row's own target comes back to it. The mean absolute error of both is taken
+    over these held-out predictions, and for the final forest over folds of its own.
+    """
+    ready = df.na.fill(0, list(features)).where(F.col(target).isNotNull()).withColumn("fold", fold_of(id_cols, folds))
+    parts = []
+    for f in range(folds):
+        fitted = FittedModel(_regressor(features, target, trees, seed).fit(ready.where(F.col("fold") != f)), list(features))
+        parts.append(predict_picks(fitted, ready.where(F.col("fold") == f), "base_pick"))
+    rows = cut_lineage(reduce(DataFrame.unionByName, parts))
+    known, wide = rows.where(F.col(public).isNotNull()), [*features, public, "base_pick"]
+    mae = lambda scored, out: scored.select(F.avg(F.abs(F.col(out) - F.col(target)))).first()[0]
+    held = [
+        predict_picks(FittedModel(_regressor(wide, target, trees, seed).fit(known.where(F.col("fold") != f)), wide), known.where(F.col("fold") == f), "_held")
+        for f in range(folds)
+    ]
+    base = FittedModel(_regressor(features, target, trees, seed).fit(ready), list(features), mae(rows, "base_pick"))
+    final = FittedModel(_regressor(wide, target, trees, seed).fit(known), wide, mae(reduce(DataFrame.unionByName, held), "_held"))
+    return StackedModel(base, final, public, rows)
+
+
 def rfe(
     df: DataFrame, features: Sequence[str], target: str, keep: int = 15, step: int = 5, trees: int = 30, seed: int = 42
 ) -> list[str]:

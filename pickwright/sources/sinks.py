@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import csv
+import io
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,9 +16,29 @@ def write_wide(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def overwrite_partition(df: DataFrame, path: str, keys: Sequence[str], partition: str = "year", order: Sequence[str] = ()) -> None:
-    """Replace only the years present in ``df``; duplicate keys keep the first row by order."""
-    clean = first_by(df, keys, [F.col(c) for c in order]) if order else df.dropDuplicates(list(keys))
+def write_stacked(df: DataFrame, path: str, index: str, columns: Mapping[str, Sequence[str]], levels: Sequence[str]) -> None:
+    """Delimited text that begins with one line per level and one with the index name, as :func:`scans.read_stacked` reads it.
+
+    ``columns`` gives each column's labels, one per level, in order; a label that repeats the one before it is left
+    blank. The header is a file of its own, the first by name; rows follow in any number of files.
+    """
+    labels = list(columns.values())
+    top = []
+    for i, level in enumerate(levels):
+        line = [x[i] if k == 0 or labels[k - 1][: i + 1] != x[: i + 1] else "" for k, x in enumerate(labels)]
+        top.append([level, *line])
+    top.append([index, *[""] * len(labels)])
+    out = io.StringIO()
+    csv.writer(out, lineterminator="\n").writerows(top)
+    head = df.sparkSession.createDataFrame([(line,) for line in out.getvalue().splitlines()], "value string").coalesce(1)
+    rows = df.select(F.to_csv(F.struct(index, *columns)).alias("value"))
+    # a union keeps the order of its sides' partitions
+    head.unionAll(rows).write.text(path)
+
+
+def overwrite_partition(df: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], partition: str = "year") -> None:
+    """Replace only the years present in ``df``; of rows with equal keys the first by ``order`` stays, which must tell them apart."""
+    clean = first_by(df, keys, [F.col(c) for c in order])
     clean.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
