@@ -17,18 +17,25 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def per_process(key: str, make: Callable[[], object]):
-    """A value made once in each Python worker and kept between its tasks."""
+    """A value made once in each Python worker and kept between its tasks, until it runs a task that doesn't keep it."""
     kept = sys.__dict__.setdefault("_pickwright_kept", {})
     if key not in kept:
         kept[key] = make()
     return kept[key]
 
 
-def map_texts(df: DataFrame, keep: list[str], text: str, schema: str, fn: Callable[[list], dict[str, list]]) -> DataFrame:
+def forget(but: str | None) -> None:
+    """Drop what earlier tasks of other stages left in this worker."""
+    kept = sys.__dict__.get("_pickwright_kept", {})
+    for key in [k for k in kept if k != but]:
+        del kept[key]
+
+
+def map_texts(df: DataFrame, keep: list[str], text: str, schema: str, fn: Callable[[list], dict[str, list]], keeps: str | None = None) -> DataFrame:
     """Columns ``keep`` of every row beside what ``fn`` makes of the list of texts of an Arrow batch.
 
     ``fn`` gets str or None per row and returns one list per column of ``schema``.
-    No shuffle: rows stay where the scan put them.
+    ``keeps`` names what ``fn`` takes from :func:`per_process`. No shuffle: rows stay where the scan put them.
     """
     plain = df.select(*[F.col(c) for c in keep], F.col(text).alias("__text"))
     fields = plain.select(*keep).schema
@@ -37,6 +44,7 @@ def map_texts(df: DataFrame, keep: list[str], text: str, schema: str, fn: Callab
     out = T.StructType([*fields, *made_fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(keeps)
         for batch in batches:
             made = fn(batch.column(len(keep)).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(made[n], k) for n, k in zip(names, kinds, strict=True)]], names=[*keep, *names])

@@ -43,8 +43,7 @@ def _tokenizer(path: str):
 
 def count_batch(texts: list[str | None], path: str, batch_bytes: int = BATCH_BYTES, entries: int = TABLE_ENTRIES) -> list[int]:
     """Token counts of whole texts."""
-    tokenizer = per_process(f"count:{path}", lambda: _tokenizer(path))
-    table: dict[str, int] = per_process(f"counts:{path}", dict)
+    tokenizer, table = per_process(f"count:{path}", lambda: (_tokenizer(path), {}))
     counts = []
     for text in texts:
         cut = pieces(text) if text else []
@@ -71,5 +70,5 @@ def token_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     rows give repeated results, an empty table an empty result; other columns are ignored.
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.col(text).alias("__t"))
-    counted = map_texts(base, ["doc_id", "n_bytes"], "__t", "n_tokens bigint", lambda texts: {"n_tokens": count_batch(texts, path)})
+    counted = map_texts(base, ["doc_id", "n_bytes"], "__t", "n_tokens bigint", lambda texts: {"n_tokens": count_batch(texts, path)}, f"count:{path}")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
