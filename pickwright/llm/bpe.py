@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pickwright.llm.common import map_texts, per_process
 
 #: Bytes of the table of known pieces, about; entries of the table of token pairs; characters of a chunk, about.
-TABLE_BYTES, PAIRS, CHUNK = 48 << 20, 300_000, 1 << 16
+TABLE_BYTES, PAIRS, CHUNK = 96 << 20, 300_000, 1 << 16
 #: Entries of each table of token edges; characters of the texts whose new words are sorted and encoded together, about.
 EDGES, TOGETHER = 10_000, 1 << 20
 WINDOW = 512
@@ -283,7 +283,7 @@ class Known:
         return got
 
     def put(self, key: str, value: bytes) -> None:
-        self.size += 170 + len(key.encode()) + len(value)
+        self.size += 180 + 2 * len(key) + len(value)
         self.young[key] = value
 
     def turn(self) -> None:
@@ -305,6 +305,8 @@ class WordEncoder:
 
     def words(self, piece: str) -> list[str | int]:
         """Words, and ids of special tokens, of a piece without plain white space."""
+        if piece.isascii() and piece.isalpha():
+            return [piece.lower()]
         out: list[str | int] = []
         cut = self.marks.split(piece) if any(c in piece for c in self.starts) else [piece]
         for k, part in enumerate(cut):
@@ -320,7 +322,7 @@ class WordEncoder:
         """Little-endian ids of a piece without plain white space."""
         out = []
         for w in self.words(piece):
-            if isinstance(w, int):
+            if w.__class__ is int:
                 out.append(w.to_bytes(4, "little"))
             elif w != piece and self.own_piece(w):
                 out.append(self.known[w])  # such a word is a piece too, and most words come in many pieces
@@ -345,7 +347,8 @@ class WordEncoder:
         known = self.known
         known.turn()
         new = set().union(*map(self.cut, texts)).difference(known.young, known.old)
-        words = {w for p in new for w in self.words(p) if not isinstance(w, int) and self.own_piece(w)}
+        words = {p for p in new if p.isascii() and p.isalpha() and p.islower()}
+        words.update(w for p in new.difference(words) for w in self.words(p) if w.__class__ is str and self.own_piece(w))
         words.difference_update(known.young, known.old)
         for w, ids in self.merges.encode_sorted(sorted(w.encode() for w in words)):
             known.put(w.decode(), array("I", ids).tobytes())
