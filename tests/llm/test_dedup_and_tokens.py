@@ -207,14 +207,58 @@ def test_pipeline_stage_drops_texts_of_five_word_jaccard_08(spark, hot):
             for at in range(changed):
                 edited[10 + 25 * at] = draw()
             texts.append(" ".join(edited))
+    got = sorted(r["doc_id"] for r in near_texts.representatives(docs(spark, texts), hot=hot).select("doc_id").collect())
+    assert got == least_of_groups(texts)
+    assert near_texts.representatives(docs(spark, [])).count() == 0
+
+
+def least_of_groups(texts):
+    """The least index of each group of texts connected by a five-word Jaccard similarity of 0.8."""
     sets = [frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset() for w in ((t or "").encode().lower().split() for t in texts)]
-    alike = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     groups = list(range(len(sets)))
-    for _ in sets:
-        for a, b in alike:
-            groups[a] = groups[b] = min(groups[a], groups[b])
+
+    def find(x):
+        while groups[x] != x:
+            x = groups[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                groups[max(x, y)] = min(x, y)
+    return sorted({find(x) for x in range(len(sets))})
+
+
+@pytest.mark.parametrize("hot", [2, 32])
+def test_texts_with_a_common_part_lose_no_link(spark, hot):
+    """Pairs at 0.82 whose texts all share a part: one hot bucket holds many groups."""
+    rnd = random.Random(13)
+    draw = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    common, texts = draw(240), []
+    for _ in range(60):
+        own = draw(50)
+        for _ in range(2):
+            texts.append(" ".join([*own, *common, *draw(26)]))
     got = sorted(r["doc_id"] for r in near_texts.representatives(docs(spark, texts), hot=hot).select("doc_id").collect())
-    if hot == 32:
-        assert got == sorted(set(groups))
-    assert set(groups) <= set(got) and len(got) <= len(set(groups)) + 3
-    assert near_texts.representatives(docs(spark, [])).count() == 0
+    assert got == least_of_groups(texts) and len(got) == 60
+
+
+def test_joining_links_join_what_all_links_would():
+    rnd = np.random.default_rng(3)
+    for _ in range(20):
+        base = [rnd.choice(400, 40, replace=False) for _ in range(4)]
+        sets = [np.unique(np.where(rnd.random(40) < 0.08, rnd.integers(0, 400, 40), base[k % 4])).astype(np.int64) for k in range(24)] + [np.zeros(0, np.int64)]
+        groups = [int(rnd.integers(0, 20)) for _ in sets]
+        alike = [(a, b) for a in range(24) for b in range(a) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))]
+
+        def joined(links):
+            root = list(groups)
+            for a, b in links:
+                x, y = root[a], root[b]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+            return root
+
+        assert joined(near_texts.joining_links(sets, groups, 0.8)) == joined(alike)
+
+
