@@ -8,7 +8,6 @@ gram presence with the landmarks' grams and coefficients, batch by batch.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,7 +24,11 @@ TRIGRAMS = GRAMS - 64**3
 #: A trigram is familiar from so many sample rows of a language. A text is in the language if its share of familiar ones
 #: reaches this part of what all but a few rows reach when left out, less three standard errors of the text's own share.
 SEEN_IN, FEW, OF_CLEAN, ERRORS = 2, 0.01, 0.75, 3.0
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """A character of the Unicode letter categories, as ``\\p{L}``; numerals such as ½ or Ⅷ are none."""
+    return any(map(str.isalpha, text))
 
 
 def _folded() -> np.ndarray:
@@ -153,7 +156,7 @@ def train(docs: DataFrame, doc_id: str, text: str, lang: str, sample: int = SAMP
 
 
 def predict_batch(model: Model, texts: list[str | None]) -> dict[str, list]:
-    known = [k for k, t in enumerate(texts) if t and model.langs and _LETTER.search(t)]
+    known = [k for k, t in enumerate(texts) if t and model.langs and has_letter(t)]
     lang, score = ["und"] * len(texts), [0.0] * len(texts)
     if known:
         out = model.outputs([texts[k] for k in known])
@@ -181,7 +184,7 @@ def recognise_batch(model: Model, texts: list[str | None]) -> dict[str, list]:
     flags = np.zeros(GRAMS, bool)
     made = predict_batch(model, texts)
     if not model.langs:
-        return made | {"recognised": [bool(t and _LETTER.search(t)) for t in texts]}
+        return made | {"recognised": [bool(t and has_letter(t)) for t in texts]}
     made["recognised"] = [x != "und" and model.recognises(t, x, flags) for t, x in zip(texts, made["lang_pred"], strict=True)]
     return made
 

@@ -54,6 +54,11 @@ def test_contamination_equals_brute_force(spark):
     assert not any(r["contaminated"] for r in decontam.contamination(docs(spark, texts[:9]), bench.limit(0)).collect())
 
 
+def test_numerals_are_no_letters():
+    assert not any(map(language.has_letter, ["½ ² ①", "Ⅷ", "١٢٣", "_", "\U0001f600", ""]))
+    assert all(map(language.has_letter, ["½a", "é", "日", "ª", "ʰ", "ё"]))
+
+
 def test_proximity_finds_a_window_with_a_word_put_in(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     text = item.replace("delta", "delta extra")
