@@ -217,12 +217,14 @@ def i8(spark, d):
 
 @case(
     "i8_best_paths_two_picks", "contest:s rank:l picks:a total:d4",
-    q(PATH_CANDS, """p AS (SELECT a.contest, [a.team, b.team, c.team] AS picks, a.score + b.score + c.score AS total FROM cand a JOIN cand b ON b.contest = a.contest AND b.week = 3 AND b.team <> a.team
-        JOIN cand c ON c.contest = a.contest AND c.week = 3 AND c.team > b.team AND c.team <> a.team WHERE a.week = 1)""",
+    q(PATH_CANDS, """p AS (SELECT a.contest, [a.team, e.team, b.team, c.team, f.team] AS picks, a.score + e.score + b.score + c.score + f.score AS total
+        FROM cand a JOIN cand e ON e.contest = a.contest AND e.week = 2 AND e.team <> a.team JOIN cand b ON b.contest = a.contest AND b.week = 3 AND b.team NOT IN (a.team, e.team)
+        JOIN cand c ON c.contest = a.contest AND c.week = 3 AND c.team > b.team AND c.team NOT IN (a.team, e.team)
+        JOIN cand f ON f.contest = a.contest AND f.week = 4 AND f.team NOT IN (a.team, e.team, b.team, c.team) WHERE a.week = 1)""",
       "SELECT contest, row_number() OVER (PARTITION BY contest ORDER BY total DESC) AS rank, picks, total FROM p QUALIFY rank <= 2"),
 )
 def i8_two(spark, d):
-    return paths.best_paths(path_candidates(spark, d), ["contest"], "week", "team", "score", [1, 3], k=2, picks={3: 2})
+    return paths.best_paths(path_candidates(spark, d), ["contest"], "week", "team", "score", [1, 2, 3, 4], k=2, picks={3: 2})
 
 
 @case(

@@ -26,12 +26,13 @@ def j1(spark, d):
 
 @case(
     "j2_two_roles", "game_id:l season:l home_strength:d home_n:l away_strength:d away_n:l",
-    q(GAMES, PLAYS, "st AS (SELECT season, team, avg(x) AS strength, count(*) AS n FROM plays WHERE season <> 1998 GROUP BY ALL)",
+    q(GAMES, PLAYS, "st AS (SELECT season + 1 AS season, team, avg(x) AS strength, count(*) AS n FROM plays GROUP BY ALL)",
       """SELECT game_id, games.season, h.strength AS home_strength, h.n AS home_n, a.strength AS away_strength, a.n AS away_n FROM games
          LEFT JOIN st h ON h.season = games.season AND h.team = home LEFT JOIN st a ON a.season = games.season AND a.team = away"""),
 )
 def j2(spark, d):
-    stats = plays(spark, d).where(F.col("season") != 1998).groupBy("season", "team").agg(F.avg("x").alias("strength"), F.count("*").alias("n"))
+    # last season's strength: the first season has none
+    stats = plays(spark, d).groupBy((F.col("season") + 1).alias("season"), "team").agg(F.avg("x").alias("strength"), F.count("*").alias("n"))
     return joins.join_two_roles(games(spark, d), stats, home="home", away="away")
 
 
@@ -148,13 +149,12 @@ def j8_keys(spark, d):
 
 @case(
     "j9_join_compare", "team:l line_own:d line_other:d",
-    q(GAMES, TEAM_GAMES, """SELECT a.team, a.line AS line_own, b.line AS line_other FROM (SELECT team, avg(line) AS line FROM tg WHERE season < 1998 GROUP BY ALL) a
-      JOIN (SELECT team, avg(line) AS line FROM tg WHERE season >= 1998 AND team <> 5 GROUP BY ALL) b USING (team)"""),
+    q(GAMES, TEAM_GAMES, DIM, "SELECT a.team, a.line AS line_own, rank AS line_other FROM (SELECT team, avg(line) AS line FROM tg GROUP BY ALL) a JOIN dim USING (team)"),
 )
 def j9(spark, d):
-    tg = team_games(spark, d)
-    mean = lambda part: part.groupBy("team").agg(F.avg("line").alias("line"))
-    return joins.join_compare(mean(tg.where("season < 1998")), mean(tg.where("season >= 1998 and team <> 5")), ["team"])
+    """Teams outside the dimension drop out."""
+    own = team_games(spark, d).groupBy("team").agg(F.avg("line").alias("line"))
+    return joins.join_compare(own, dim(spark, d).select("team", F.col("rank").alias("line")), ["team"])
 
 
 @case(
@@ -203,19 +203,20 @@ def j12(spark, d):
 
 @case(
     "j13_attach_schedule", "year:l team:l slot:l is_away:b won:b game_day:t n:l",
-    q(GAMES, PICKS, """g AS (SELECT season AS year, week % 16 + 1 AS slot, home, away, home_score - away_score AS mg, day FROM games WHERE season = 1996)""",
+    q(GAMES, PICKS, """g AS (SELECT season AS year, week % 16 + 1 AS slot, home, away, home_score - away_score AS mg, day FROM games)""",
       """s AS (SELECT year, slot, home AS team, false AS is_away, mg > 0 AS won, day FROM g UNION ALL SELECT year, slot, away, true, mg < 0, day FROM g)""",
-      "p AS (SELECT 1996 AS year, week AS slot, team, count(*) AS n FROM picks GROUP BY ALL)",
+      "p AS (SELECT CAST(1994 + event_id % 9 AS INT) AS year, week AS slot, team, count(*) AS n FROM picks GROUP BY ALL)",
       "SELECT p.year, p.team, p.slot, is_away, won, day AS game_day, n FROM p LEFT JOIN s ON s.year = p.year AND s.slot = p.slot AND s.team = p.team"),
 )
 def j13(spark, d):
-    g = games(spark, d).where(F.col("season") == 1996)
+    """Picks of nine years, the first and the last of them without a schedule."""
+    g = games(spark, d)
     m = F.col("home_score") - F.col("away_score")
     g = g.select(
         F.col("season").alias("year"), (F.col("week") % 16 + 1).alias("slot"), "home", "away", "day",
         F.when(m > 0, F.col("home")).when(m < 0, F.col("away")).when(m == 0, F.lit(-1)).alias("winner"),
     )
-    p = picks(spark, d).groupBy(F.lit(1996).alias("year"), F.col("week").alias("slot"), "team").agg(F.count("*").alias("n"))
+    p = picks(spark, d).groupBy((F.col("event_id") % 9 + 1994).cast("int").alias("year"), F.col("week").alias("slot"), "team").agg(F.count("*").alias("n"))
     return joins.attach_schedule(p, g, ["year", "slot"], "home", "away", "winner", "day")
 
 

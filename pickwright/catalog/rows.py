@@ -170,7 +170,7 @@ def p12(spark, d):
     q(GAMES, """hourly AS (SELECT user_id % 32 AS home, CAST(ts AS DATE) + INTERVAL 1 YEAR - INTERVAL 29 YEAR AS day, value AS temp, value / 10 AS wind, value / 100 AS precip
         FROM events WHERE hour(ts) BETWEEN 13 AND 16)""",
       "played AS (SELECT home, CAST(day AS DATE) AS day, avg(temp) AS t, avg(wind) AS w, sum(precip) AS p FROM hourly GROUP BY ALL)",
-      "monthly AS (SELECT home, month(day) AS month, avg(total) / 10000 AS mt, avg(spread) + 10 AS mw FROM games WHERE home % 5 <> 1 GROUP BY ALL)",
+      "monthly AS (SELECT home, month(day) AS month, avg(CASE WHEN cust % 4 > 0 AND home % 5 <> 1 THEN total END) / 10000 AS mt, avg(spread) + 10 AS mw FROM games GROUP BY ALL)",
       """SELECT game_id, CASE WHEN home % 7 = 0 THEN CAST(70 AS DOUBLE) WHEN t IS NOT NULL THEN t WHEN away_score IS NOT NULL THEN away_score ELSE coalesce(mt, 60) END AS temp,
         CASE WHEN home % 7 = 0 THEN CAST(0 AS DOUBLE) WHEN t IS NOT NULL THEN w WHEN away_score IS NOT NULL AND away_score > 30 THEN home_score ELSE coalesce(mw, 10) END AS wind,
         CASE WHEN home % 7 <> 0 AND t IS NOT NULL THEN p ELSE 0 END AS precip,
@@ -188,8 +188,9 @@ def p12_weather(spark, d):
         (F.col("user_id") % 32).alias("home"), F.expr("ts + INTERVAL 1 YEAR - INTERVAL 29 YEAR").alias("ts"),
         F.col("value").alias("temp"), (F.col("value") / 10).alias("wind"), (F.col("value") / 100).alias("precip"),
     )
-    monthly = g.where(F.col("home") % 5 != 1).groupBy("home", F.month("day").alias("month")).agg(
-        (F.avg("total") / 10000).alias("month_temp"), (F.avg("spread") + 10).alias("month_wind")
+    measured = F.when((F.col("cust") % 4 > 0) & (F.col("home") % 5 != 1), F.col("total"))  # some places have no reading at all
+    monthly = g.groupBy("home", F.month("day").alias("month")).agg(
+        (F.avg(measured) / 10000).alias("month_temp"), (F.avg("spread") + 10).alias("month_wind")
     )
     return rows.weather_cascade(ready, hourly, monthly, ["home"])
 
@@ -212,10 +213,10 @@ def p13(spark, d):
 @case(
     "p14_consensus", "game_id:l same:b home_all:b",
     q(GAMES, """SELECT game_id, (spread > 0) = (home_score > away_score) AND (spread > 0) = (total > 200000) AND (spread > 0) = (home > away) AS same,
-      spread > 0 AND home_score - away_score > 0 AND total - 200000 > 0 AND home - away > 0 AS home_all FROM games WHERE home_score IS NOT NULL"""),
+      spread > 0 AND home_score - away_score > 0 AND total - 200000 > 0 AND home - away > 0 AS home_all FROM games"""),
 )
 def p14(spark, d):
-    g = games(spark, d).where(F.col("home_score").isNotNull()).withColumns(
+    g = games(spark, d).withColumns(
         {"w1": F.col("spread") > 0, "w2": F.col("home_score") > F.col("away_score"), "w3": F.col("total") > 200000, "w4": F.col("home") > F.col("away")}
     )
     diffs = [F.col("spread"), F.col("home_score") - F.col("away_score"), F.col("total") - 200000, F.col("home") - F.col("away")]

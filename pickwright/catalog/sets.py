@@ -83,10 +83,11 @@ def u4(spark, d):
 @case(
     "u5_fill_from", "week:l team:l pct:d",
     q(PICKS, """SELECT coalesce(a.week, b.week) AS week, coalesce(a.team, b.team) AS team, coalesce(a.pct, b.pct) AS pct
-      FROM (SELECT week, team, sum(pct) AS pct FROM picks WHERE pool = 'click' GROUP BY ALL) a FULL JOIN (SELECT week, team, sum(pct) AS pct FROM picks WHERE pool = 'view' GROUP BY ALL) b
+      FROM (SELECT week, team, sum(CASE WHEN pool = 'click' THEN pct END) AS pct FROM picks GROUP BY ALL) a FULL JOIN (SELECT week + 1 AS week, team, sum(pct) AS pct FROM picks GROUP BY ALL) b
       ON a.week = b.week AND a.team = b.team"""),
 )
 def u5(spark, d):
     p = picks(spark, d)
-    part = lambda pool: p.where(F.col("pool") == pool).groupBy("week", "team").agg(F.sum("pct").alias("pct"))
-    return sets.fill_from(part("click"), part("view"), ["week", "team"], ["pct"])
+    own = p.groupBy("week", "team").agg(F.sum(F.when(F.col("pool") == "click", F.col("pct"))).alias("pct"))
+    before = p.groupBy((F.col("week") + 1).alias("week"), "team").agg(F.sum("pct").alias("pct"))
+    return sets.fill_from(own, before, ["week", "team"], ["pct"])

@@ -16,6 +16,8 @@ from pickwright.skew import add_group_stats, not_null, spread
 # and the parts cut off below NODE_LOW and above NODE_HIGH - log(smallest s) are smaller.
 STEP = 0.2
 NODE_LOW, NODE_HIGH = -3.5, 3.6
+# nodes of a usual group
+NODES = 100
 
 
 def expand_outcomes(games: DataFrame, group: Sequence[str], game: str, limit: int = 16) -> DataFrame:
@@ -75,7 +77,7 @@ def scenario_ev(
         *g, "_dead_log", "_safe", "_scale",
         F.ceil((F.lit(NODE_HIGH) + F.log(F.col("_scale") / F.col("_small"))) / STEP).cast("int").alias("_to"),
     )
-    placed = spread(rows, game).join(span, g).withColumns({"_a": F.col("_a") / F.col("_scale"), "_b": F.col("_b") / F.col("_scale")})
+    placed = spread(rows, game, work=NODES).join(span, g).withColumns({"_a": F.col("_a") / F.col("_scale"), "_b": F.col("_b") / F.col("_scale")})
 
     def log_factor(t: Column) -> Column:
         """log(p e^-at + q e^-bt), with the smaller exponent taken out front."""
@@ -150,7 +152,7 @@ def outcome_trials(
     a, b = F.coalesce(pick_a, F.lit(0.0)), F.coalesce(pick_b, F.lit(0.0))
     chance = F.coalesce(p, F.lit(0.5))
     bound = F.lpad(F.lower(F.hex(F.ceil(chance * F.lit(float(16**HEX_DIGITS))))), HEX_DIGITS, "0")
-    drawn = spread(games.where(not_null([*k, week, game])), game).select(
+    drawn = spread(games.where(not_null([*k, week, game])), game, work=trials).select(
         *k, week, F.col(game).cast("string").alias("_game"), chance.alias("_p"), bound.alias("_bound"), a.alias("_a"), b.alias("_b"),
         F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"),
     )

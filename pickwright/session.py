@@ -30,10 +30,16 @@ def build_session(app: str = "pickwright", master: str | None = None, partitions
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``, and where that is unset a folder in the warehouse.
 
-    Both are Hadoop paths that the session's settings name; the master URL plays no part.
+    The latter only where it is no machine's own folder, or driver and executors are one process.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/pickwright-scratch"
+    if configured:
+        return configured
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    master = spark.sparkContext.master
+    if warehouse.startswith(("file:", "/")) and not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{warehouse}/pickwright-scratch"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

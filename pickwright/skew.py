@@ -178,10 +178,19 @@ def neighbor(
     row = F.struct(*[F.col(s).alias(n) for n, s in cols.items()])
     rank = F.struct(*order)
     at = [*keys, "_chunk", "_piece"]
-    tagged = cut_pieces(df.withColumn("_chunk", chunk), [*keys, "_chunk"], order, piece_rows)
+
+    def edges(tagged: DataFrame) -> DataFrame:
+        return tagged.groupBy(*at).agg((F.min_by(row, rank) if ahead else F.max_by(row, rank)).alias("_edge"), F.count("*").alias("_n"))
+
+    chunked = df.withColumn("_chunk", chunk)
+    tagged = chunked.withColumn("_piece", F.lit(0).cast("long"))
+    # the edge table is needed in any case, and its counts tell whether a chunk must be cut
+    edge = cut_lineage(edges(tagged))
+    if not edge.where(F.col("_n") > piece_rows).isEmpty():
+        tagged = cut_pieces(chunked, [*keys, "_chunk"], order, piece_rows)
+        edge = edges(tagged)
     piece = Window.partitionBy(*at).orderBy(*order)
     near = F.lead(row).over(piece) if ahead else F.lag(row).over(piece)
-    edge = tagged.groupBy(*at).agg((F.min_by(row, rank) if ahead else F.max_by(row, rank)).alias("_edge"))
     line = Window.partitionBy(*keys).orderBy("_chunk", "_piece")
     beyond = F.lead("_edge").over(line) if ahead else F.lag("_edge").over(line)
     edge = edge.select(*at, beyond.alias("_beyond"))
@@ -231,9 +240,14 @@ def cell_order(keys: Sequence[str], order: Column | str):
     return Window.partitionBy(*keys).orderBy(order)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Distribute rows before a step that does much work per row.
+#: Rows that a task of a step with much work per row makes, about.
+MADE_ROWS = 250_000
+
+
+def spread(df: DataFrame, *keys: str, work: int) -> DataFrame:
+    """Distribute rows by ``keys`` before a step that makes about ``work`` rows of each.
 
-    A rebalance: AQE sizes the partitions by bytes, splits a hot key's and follows the input's growth.
+    AQE would size the partitions by the bytes before that step, so the rows are counted; the number of
+    partitions follows what the step makes. ``keys`` should tell rows apart.
     """
-    return df.hint("rebalance", *keys)
+    return df.repartition(max(1, -(-df.count() * work // MADE_ROWS)), *keys)

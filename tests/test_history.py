@@ -182,3 +182,20 @@ def test_stacked_model_never_sees_its_own_target(spark):
     out = {r["id"]: r for r in made.predict(df).collect()}
     assert all((out[i]["pick_pct"] == out[i]["base_pick"]) == (p is None) or p is not None for i, _, _, p in data)
     assert all(out[i]["public"] == p for i, _, _, p in data)
+
+
+def test_scratch_folder_is_demanded_on_a_cluster():
+    from types import SimpleNamespace
+
+    from pickwright.session import shared_dir
+
+    def session(master, warehouse, configured=None):
+        known = {"spark.sql.warehouse.dir": warehouse, "spark.checkpoint.dir": configured}
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: known[k] or d), sparkContext=SimpleNamespace(master=master))
+
+    assert shared_dir(session("local[8]", "file:/w/")) == "file:/w/pickwright-scratch"
+    assert shared_dir(session("spark://m:7077", "hdfs://n/w")) == "hdfs://n/w/pickwright-scratch"
+    assert shared_dir(session("spark://m:7077", "file:/w", "hdfs://n/c")) == "hdfs://n/c"
+    for master in ("spark://m:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_dir(session(master, "file:/w"))
