@@ -125,15 +125,17 @@ def fit(x: np.ndarray, y: np.ndarray, for_calibration: np.ndarray, steps: int =
     spread = np.maximum(spread, np.median(spread[spread > 0]) if (spread > 0).any() else 1)
     a = (a - mean) / spread
     share = np.where(t == 1, 0.5 / max(1, t.sum()), 0.5 / max(1, (1 - t).sum()))
-    step = 1 / (0.25 * float((share[:, None] * a * a).sum()) + decay)
-    w = v = np.zeros(x.shape[1] + 1)
+    gram = sum(b @ b.T for b in (a[:, i : i + buckets].astype(float) for i in range(0, a.shape[1], buckets)))
+    step = 1 / (0.25 * float(share @ np.diag(gram)) + decay)
+    # steps from 0 keep the weights a sum of rows, so they run on a factor per row: rows x rows numbers a step, not rows x features
+    w = v = np.zeros(len(a) + 1)
     for k in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a @ v[1:] + v[0], -40, 40)))
+        p = 1 / (1 + np.exp(-np.clip(gram @ v[1:] + v[0], -40, 40)))
         e = share * (p - t)
-        g = np.concatenate([[e.sum()], a.T @ e + decay * v[1:]])
+        g = np.concatenate([[e.sum()], e + decay * v[1:]])
         new = v - step * 4 * g
         v, w = new + k / (k + 3) * (new - w), new
-    scaled = w[1:] / spread
+    scaled = (w[1:].astype(a.dtype) @ a).astype(float) / spread
     bias = float(w[0] - scaled @ mean)
     z = x[for_calibration] @ scaled + bias
     slope, shift = calibrated(z, y[for_calibration])
