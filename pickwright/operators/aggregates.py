@@ -13,24 +13,29 @@ from pickwright.functions import rating
 from pickwright.skew import cell_order, nan_to_null, not_null, running_totals
 
 
+def over_weight(total: Column, weight: Column) -> Column:
+    """``total / weight`` as IEEE has it: values of no weight in all have no mean, NaN, and fail no job."""
+    return F.when(weight == 0, total * F.lit(float("inf"))).otherwise(total / F.nullif(weight, F.lit(0)))
+
+
 def wmean(x: Column, w: Column, where: Column | None = None) -> Column:
-    """Weighted mean over rows with a value; null when there is none. NaN is no value."""
+    """Weighted mean over rows with a value; null when there is none, NaN when all weigh nothing. NaN is no value."""
     x = F.nullif(x.cast("double"), F.lit(float("nan")))
     use = x.isNotNull() if where is None else x.isNotNull() & where
-    return F.sum(F.when(use, x * w)) / F.sum(F.when(use, w))
+    return over_weight(F.sum(F.when(use, x * w)), F.sum(F.when(use, w)))
 
 
 def wrate(hit: Column, base: Column, w: Column) -> Column:
     """Weight of the rows of ``base`` that are hits, over the weight of ``base``."""
     hit_in_base = base & F.coalesce(hit, F.lit(False))
-    return F.sum(F.when(hit_in_base, w).otherwise(F.when(base, F.lit(0.0)))) / F.sum(F.when(base, w))
+    return over_weight(F.sum(F.when(hit_in_base, w).otherwise(F.when(base, F.lit(0.0)))), F.sum(F.when(base, w)))
 
 
 def wstd(x: Column, w: Column, where: Column | None = None) -> Column:
     """Weighted population standard deviation."""
     use = x.isNotNull() if where is None else x.isNotNull() & where
     sw, sx, sxx = F.sum(F.when(use, w)), F.sum(F.when(use, x * w)), F.sum(F.when(use, x * x * w))
-    return F.sqrt(F.greatest(sxx / sw - F.pow(sx / sw, 2), F.lit(0.0)))
+    return F.sqrt(F.greatest(over_weight(sxx, sw) - F.pow(over_weight(sx, sw), 2), F.lit(0.0)))
 
 
 def weighted_mean(df: DataFrame, keys: Sequence[str], x: Mapping[str, str], w: str) -> DataFrame:

@@ -486,3 +486,13 @@ def test_overrides_sentinel(spark, rows):
     base = spark.createDataFrame([(1, "a", 0.2), (1, "b", 0.3), (1, "c", 0.4)], "week int, team string, pct double")
     ov = spark.createDataFrame([(1, "a", -1.0), (1, "b", 0.0)], "week int, team string, override double")
     assert rows(R.apply_overrides(base, ov, ["week", "team"], "pct")) == [(1, "a", 0.2), (1, "b", 0.0), (1, "c", 0.4)]
+
+
+def test_values_without_weight_have_no_mean_and_fail_nothing(spark):
+    """A pace whose only gap weighs 0 failed the job by a division by zero."""
+    df = spark.createDataFrame([("a", 5.0, 0.0), ("b", 4.0, 0.0), ("b", 7.0, 2.0), ("c", None, 0.0)], "k string, x double, w double")
+    got = {r["k"]: r["pace"] for r in windows.pace(df, ["k"], "x", "w").collect()}
+    assert math.isnan(got["a"]) and got["b"] == 7.0 and "c" not in got
+    shares = df.groupBy("k").agg(A.wmean(F.col("x"), F.col("w")).alias("m"), A.wstd(F.col("x"), F.col("w")).alias("s"), A.wrate(F.col("x") > 4, F.col("x") > 0, F.col("w")).alias("r"))
+    got = {r["k"]: tuple(r)[1:] for r in shares.collect()}
+    assert all(math.isnan(v) for v in got["a"]) and got["b"] == (7.0, 0.0, 1.0) and got["c"] == (None, 0.0, None)
