@@ -32,11 +32,28 @@ def arg_max(values: Mapping[str, Column]) -> Column:
     return F.array_max(F.array_compact(F.array(*cells)))
 
 
+def one_decimal(x: Column) -> Column:
+    """``%.1f`` as C prints it: the double's exact value is rounded, an exact tie to the even digit.
+
+    ``format_string`` rounds the shortest decimal text half up: 89.25 becomes 89.3, and 0.15, a little below its text, 0.2.
+    """
+    a = F.abs(x)
+    low = F.floor(a * 10)
+    # 20 a = four + rest, without error, against the odd number halfway to the next tenth
+    four = a * 16 + a * 4
+    rest = a * 4 - (four - a * 16)
+    past = (four - (2 * low + 1)) + rest
+    tenths = low + F.when(past > 0, 1).when(past == 0, low % 2).otherwise(0)
+    text = F.concat(F.when(x < 0, "-").otherwise(""), ((tenths - tenths % 10) / 10).cast("long").cast("string"), F.lit("."), (tenths % 10).cast("string"))
+    # beyond, tenths are not whole numbers of a double; NaN and infinity go the same way
+    return F.when(a < 1e14, text).otherwise(F.format_string("%.1f", x))
+
+
 def edge_label(spread: Column, home_edges: Mapping[str, Column], away_edges: Mapping[str, Column], limit: float = 30) -> Column:
     """Name the underdog's best matchup when it is large enough."""
 
     def text(best: Column) -> Column:
-        named = F.format_string("Underdog Edge: %s (+%.1f)", best["name"], best["value"])
+        named = F.concat(F.lit("Underdog Edge: "), best["name"], F.lit(" (+"), one_decimal(best["value"]), F.lit(")"))
         return F.when(best["value"] > limit, named).otherwise(F.lit("No Glaring Mismatch"))
 
     return (

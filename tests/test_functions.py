@@ -109,3 +109,10 @@ def test_adjustment_sets_differ(spark):
     assert one(spark, rating.adjusted_rating(*args, False)) == pytest.approx(3 - 0.125 - 0.2 + 0.5 + 0.5 + 1.5)
     assert one(spark, rating.adjusted_rating(*args, True, rating.PRESEASON)) == pytest.approx(3 - 0.125 - 0.5 - 4 - 1 + 1.5)
     assert one(spark, rating.adjusted_rating(*args, False, rating.PRESEASON)) == pytest.approx(3 - 0.125 - 0.5 - 4 - 1 - 1.5)
+
+
+def test_one_decimal_is_that_of_c(spark):
+    values = [89.25, 89.35, 0.15, 0.25, 0.35, 30.05, 99.95, 31.0, 0.04, -0.04, -89.25, 45.45, 1e13 + 0.25, 1e15, float("inf")]
+    values += [i * 7919 % 100003 / 1000 for i in range(0, 400)] + [k / 20 for k in range(1, 400, 2)]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select("x", labels.one_decimal(F.col("x")).alias("t")).collect()
+    assert [r["t"] for r in got] == ["Infinity" if v == float("inf") else f"{v:.1f}" for v in values]
