@@ -97,7 +97,7 @@ def i11(spark, d):
     features = ["spread", "total", "Matchup_HomeOff_Run", "Matchup_AwayOff_Run", "week"]
     played = rows.where(F.col("upset").isNotNull() & (F.col("spread") != 0)).withColumn("upset", F.col("upset").cast("int"))
     fitted = models.train_upset_model(played.where("season < 2000"), features, "upset")
-    scored = models.predict_upsets(fitted, rows)
+    scored = cut_lineage(models.predict_upsets(fitted, rows))  # read twice
     p = F.col("upset_probability")
     mean = scored.select(F.avg("upset_probability")).scalar()
     return scored.withColumns({"is_chance": p.between(0, 1), "balanced": F.abs(mean - 0.5) < 0.1})

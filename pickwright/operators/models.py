@@ -16,6 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pickwright.session import cut_lineage
+from pickwright.skew import spread
+
+#: Trees that count as one made row where rows are dealt over tasks: a task holds about 25,000 rows of 200 trees.
+TREES_A_ROW = 20
 
 
 @dataclass
@@ -126,7 +130,7 @@ def train_upset_model(train: DataFrame, features: Sequence[str], label: str, tre
     counts = rows.groupBy("_y").agg(F.count("*").alias("_n"))
     total, classes = counts.select(F.sum("_n")).scalar(), counts.select(F.count("*")).scalar()
     weights = counts.select("_y", (total / (classes * F.col("_n"))).alias("_weight"))
-    rows = rows.join(weights, "_y")
+    rows = _dealt(rows.join(weights, "_y"), features, trees)
     filled = [f"_{f}" for f in features]
     stages = [
         Imputer(strategy="mean", inputCols=list(features), outputCols=filled),
@@ -134,10 +138,16 @@ def train_upset_model(train: DataFrame, features: Sequence[str], label: str, tre
         RandomForestClassifier(labelCol="_y", featuresCol="features", weightCol="_weight", numTrees=trees, maxDepth=depth, seed=seed),
     ]
     doubles = rows.withColumns({f: F.col(f).cast("double") for f in features})
-    return FittedModel(Pipeline(stages=stages).fit(doubles), list(features))
+    return FittedModel(Pipeline(stages=stages).fit(cut_lineage(doubles)), list(features))
+
+
+def _dealt(df: DataFrame, features: Sequence[str], trees: int) -> DataFrame:
+    """Rows over as many tasks as the trees ask for: MLlib works in the partitions it is given, and a scan of few bytes has few."""
+    return spread(df, *features, work=max(1, trees // TREES_A_ROW))
 
 
 def predict_upsets(fitted: FittedModel, df: DataFrame) -> DataFrame:
+    df = _dealt(df, fitted.features, fitted.model.stages[-1].getNumTrees)
     doubles = df.withColumns({f: F.col(f).cast("double") for f in fitted.features})
     scored = fitted.model.transform(doubles).withColumn("upset_probability", vector_to_array("probability")[1])
     return scored.select(*df.columns, "upset_probability")

@@ -496,3 +496,16 @@ def test_values_without_weight_have_no_mean_and_fail_nothing(spark):
     shares = df.groupBy("k").agg(A.wmean(F.col("x"), F.col("w")).alias("m"), A.wstd(F.col("x"), F.col("w")).alias("s"), A.wrate(F.col("x") > 4, F.col("x") > 0, F.col("w")).alias("r"))
     got = {r["k"]: tuple(r)[1:] for r in shares.collect()}
     assert all(math.isnan(v) for v in got["a"]) and got["b"] == (7.0, 0.0, 1.0) and got["c"] == (None, 0.0, None)
+
+
+def test_forest_rows_are_dealt_over_tasks(spark, monkeypatch):
+    """One partition in, as many as the work asks for out, the same rows, and a chance for each."""
+    from pickwright.operators import models
+
+    df = spark.range(400).selectExpr("id", "double(id % 20) AS f", "double(id % 7) AS g", "int(id % 20 > 11) AS y").coalesce(1)
+    monkeypatch.setattr(skew, "MADE_ROWS", 100)
+    fitted = models.train_upset_model(df, ["f", "g"], "y", trees=20, depth=3)
+    scored = models.predict_upsets(fitted, df)
+    assert scored.rdd.getNumPartitions() == 4
+    got = scored.collect()
+    assert sorted(r["id"] for r in got) == list(range(400)) and all((r["upset_probability"] > 0.5) == (r["y"] == 1) for r in got)
