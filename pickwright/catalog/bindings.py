@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pickwright import constants as K
 from pickwright.functions import rating
 from pickwright.operators.rows import to_team_long
+from pickwright.skew import spread
 
 AS_OF = "2001-12-31"
 TEAMS = 32
@@ -79,7 +80,8 @@ PLAYS = f"""plays AS (
 
 def plays(spark: SparkSession, d: str) -> DataFrame:
     g = games(spark, d).select("game_id", "season", "home", "away")
-    li = table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "game_id")
+    # the join and what follows per game hold a bounded number of rows a task, however few bytes the rows shuffle
+    li = spread(table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "game_id"), "game_id", work=1)
     first = F.col("l_suppkey") % 2 == 0
     return li.join(g, "game_id").select(
         "game_id", "season", "home", "away",

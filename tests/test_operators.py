@@ -509,3 +509,13 @@ def test_forest_rows_are_dealt_over_tasks(spark, monkeypatch):
     assert scored.rdd.getNumPartitions() == 4
     got = scored.collect()
     assert sorted(r["id"] for r in got) == list(range(400)) and all((r["upset_probability"] > 0.5) == (r["y"] == 1) for r in got)
+
+
+def test_plays_are_dealt_by_rows(spark, monkeypatch):
+    """A task of the join holds a bounded number of rows, not a bounded number of shuffled bytes."""
+    from oracle import ROOT
+    from pickwright.catalog.bindings import plays
+
+    monkeypatch.setattr(skew, "MADE_ROWS", 500)
+    n = spark.read.parquet(f"{ROOT}/sf0.001/lineitem.parquet").count()
+    assert plays(spark, f"{ROOT}/sf0.001").rdd.getNumPartitions() >= n // 500 > 4
