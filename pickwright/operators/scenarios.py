@@ -6,9 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pickwright.operators.aggregates import percentiles
+from pickwright.operators.draws import summed_draws
 from pickwright.operators.rows import to_team_long
+from pickwright.session import cut_lineage
 from pickwright.skew import add_group_stats, not_null, spread
 
 # Nodes of the trapezoid rule for 1/s = integral of exp(-s t) dt with t = exp(x - exp(-x)).
@@ -134,8 +137,10 @@ def scenario_ev_pairs(
     return to_team_long(valued, [*g, game], {"team": (team_a, team_b), "ev": ("_ea", "_eb")}).select(*g, game, "team", "ev")
 
 
-# hex digits of the md5 that make one uniform number: 13 digits are 52 bits
-HEX_DIGITS = 13
+# bits of the md5 that make one uniform number
+BITS = 52
+# draws of one task, about a second of work
+DRAWS = 4_000_000
 
 
 def outcome_trials(
@@ -145,29 +150,26 @@ def outcome_trials(
 
     Every (trial, game) gets one winner from md5("trial-game-seed"), which any engine can
     reproduce; a week keeps the pick shares on winners (picks are
-    shares of the week's total). Trials are spread by a generated array and summed map-side,
-    so only (trial, pool, week) sums are shuffled.
+    shares of the week's total). Games are dealt in order of their weeks, so a task holds few weeks
+    and only (trial, pool, week) sums leave it. The sums are checkpointed: the draws are made once.
     """
-    k = list(pools)
-    a, b = F.coalesce(pick_a, F.lit(0.0)), F.coalesce(pick_b, F.lit(0.0))
+    k = [*pools, week]
     chance = F.coalesce(p, F.lit(0.5))
-    bound = F.lpad(F.lower(F.hex(F.ceil(chance * F.lit(float(16**HEX_DIGITS))))), HEX_DIGITS, "0")
-    drawn = spread(games.where(not_null([*k, week, game])), game, work=trials).select(
-        *k, week, F.col(game).cast("string").alias("_game"), chance.alias("_p"), bound.alias("_bound"), a.alias("_a"), b.alias("_b"),
-        F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"),
+    # a whole number is below the bound where its uniform number is below the chance
+    bound = F.when(chance >= 1, F.lit(2**BITS)).otherwise(F.ceil(chance * F.lit(float(2**BITS))).cast("long"))
+    asked = spread(games.where(not_null([*k, game])), *k, game, work=trials, made=DRAWS, in_order=True).select(
+        *k, F.concat(F.lit("-"), F.col(game).cast("string"), F.lit(f"-{seed}")).alias("_tail"), bound.alias("_bound"),
+        F.coalesce(F.col(pick_a).cast("double"), F.lit(0.0)).alias("_a"), F.coalesce(F.col(pick_b).cast("double"), F.lit(0.0)).alias("_b"),
     )
-    # uniform < p, compared as fixed-width hex digits: the bound is made once per game
-    digits = F.substring(F.md5(F.concat_ws("-", F.col("trial").cast("string"), F.col("_game"), F.lit(str(seed)))), 1, HEX_DIGITS)
-    first = (F.col("_p") >= 1) | (digits < F.col("_bound"))
-    kept = (
-        drawn.groupBy("trial", *k, week)
-        .agg(F.sum(F.when(first, F.col("_a")).otherwise(F.col("_b"))).alias("_kept"), F.sum(F.col("_a") + F.col("_b")).alias("_all"))
-        .where(F.col("_all") > 0)
+    made = T.StructType([*asked.select(*k).schema, T.StructField("_sums", T.ArrayType(T.DoubleType())), T.StructField("_all", T.DoubleType())])
+    drawn = asked.mapInPandas(summed_draws(k, trials), made).select(*k, "_all", F.posexplode("_sums").alias("trial", "_sum"))
+    kept = cut_lineage(
+        drawn.groupBy("trial", *k).agg(F.sum("_sum").alias("_kept"), F.sum("_all").alias("_all")).where(F.col("_all") > 0)
     )
     # one row per week of a season in each partition
-    sofar = Window.partitionBy("trial", *k).orderBy(week).rowsBetween(Window.unboundedPreceding, 0)
+    sofar = Window.partitionBy("trial", *pools).orderBy(week).rowsBetween(Window.unboundedPreceding, 0)
     rate = kept.withColumn("rate", F.col("_kept") / F.col("_all"))
-    return rate.select("trial", *k, week, "rate", F.product("rate").over(sofar).alias("alive_share"))
+    return rate.select("trial", *k, "rate", F.product("rate").over(sofar).alias("alive_share"))
 
 
 def trial_summary(trials: DataFrame, keys: Sequence[str], x: str) -> DataFrame:

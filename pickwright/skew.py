@@ -244,10 +244,12 @@ def cell_order(keys: Sequence[str], order: Column | str):
 MADE_ROWS = 250_000
 
 
-def spread(df: DataFrame, *keys: str, work: int) -> DataFrame:
-    """Distribute rows by ``keys`` before a step that makes about ``work`` rows of each.
+def spread(df: DataFrame, *keys: str, work: int, made: int = MADE_ROWS, in_order: bool = False) -> DataFrame:
+    """Distribute rows by ``keys`` before a step that makes about ``work`` rows of each, ``made`` rows a task.
 
     AQE would size the partitions by the bytes before that step, so the rows are counted; the number of
-    partitions follows what the step makes. ``keys`` should tell rows apart.
+    partitions follows what the step makes. ``keys`` should tell rows apart. ``in_order`` deals ranges of the
+    keys: a task then holds few values of the first ones, and sums by them shrink before they are shuffled.
     """
-    return df.repartition(max(1, -(-df.count() * work // MADE_ROWS)), *keys)
+    n = max(1, -(-df.count() * work // made))
+    return df.repartitionByRange(n, *keys) if in_order else df.repartition(n, *keys)

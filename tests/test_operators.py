@@ -106,6 +106,27 @@ def test_trial_chance_is_the_game_chance(spark):
     assert got[2] == pytest.approx(0.25, abs=0.03)
 
 
+def test_trials_draw_the_md5_of_any_name(spark):
+    """One or two blocks of text, and a chance below 0, which nobody has."""
+    import hashlib
+
+    names = ["7", "é-1", "x" * 49, "x" * 50, "y" * 60, "z" * 130]
+    data = [(i, n, 0.5 if i else -0.1, 1.0, 0.0) for i, n in enumerate(names)]
+    df = spark.createDataFrame(data, "week int, game string, p double, ka double, kb double").withColumn("pool", F.lit(1))
+    got = {(r["trial"], r["week"]): r["rate"] for r in scenarios.outcome_trials(df, ["pool"], "week", "game", "p", "ka", "kb", 120, 5).collect()}
+    drawn = lambda t, n: int(hashlib.md5(f"{t}-{n}-5".encode()).hexdigest()[:13], 16) / 16**13
+    assert got == {(t, w): float(drawn(t, n) < p) for t in range(120) for w, n, p, _, _ in data}
+
+
+def test_trials_are_drawn_once_and_summed_per_task(spark):
+    """Games of 60 weeks come mixed; the draws' task hands on few rows, and the summary reads sums."""
+    df = spark.range(6000, numPartitions=3).select(F.lit(1).alias("pool"), (F.col("id") % 60).alias("week"), F.col("id").alias("game"), F.lit(0.5).alias("p"), F.lit(0.5).alias("ka"), F.lit(0.5).alias("kb"))
+    made = scenarios.outcome_trials(df, ["pool"], "week", "game", "p", "ka", "kb", 20, 1)
+    plan = scenarios.trial_summary(made, ["pool", "week"], "alive_share")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range (0" not in plan and "MapIn" not in plan
+    assert made.count() == 1200
+
+
 # --- shares, ratings --------------------------------------------------------
 def test_redistribute_golden(spark, rows):
     df = spark.createDataFrame([("a", 0.5, 0.3), ("b", 0.3, 0.9), ("c", 0.2, 0.25)], "t string, x double, cap double").withColumn("g", F.lit(1))
