@@ -10,17 +10,15 @@ from pyspark.sql import types as T
 
 from pickwright.operators.aggregates import percentiles
 from pickwright.operators.draws import summed_draws
+from pickwright.operators.nodes import NODE_HIGH, STEP, log_sums, values
 from pickwright.operators.rows import to_team_long
 from pickwright.session import cut_lineage
-from pickwright.skew import add_group_stats, not_null, spread
+from pickwright.skew import add_group_stats, not_null, spread, tasks
 
-# Nodes of the trapezoid rule for 1/s = integral of exp(-s t) dt with t = exp(x - exp(-x)).
-# Sums are scaled so that s <= 1; the rule's error is then about exp(-2 pi / STEP), 1e-13,
-# and the parts cut off below NODE_LOW and above NODE_HIGH - log(smallest s) are smaller.
-STEP = 0.2
-NODE_LOW, NODE_HIGH = -3.5, 3.6
 # nodes of a usual group
 NODES = 100
+# games of one list, and pairs of a game and a node in one task
+LIST, PAIRS = 1000, 2_000_000
 
 
 def expand_outcomes(games: DataFrame, group: Sequence[str], game: str, limit: int = 16) -> DataFrame:
@@ -41,13 +39,6 @@ def expand_outcomes(games: DataFrame, group: Sequence[str], game: str, limit: in
     return out.withColumn("first_wins", first_wins).drop("_n", "_i")
 
 
-def _node(x: Column) -> tuple[Column, Column]:
-    """The point t of a node and its weight."""
-    back = F.exp(-x * STEP)
-    t = F.exp(x * STEP - back)
-    return t, t * (1 + back) * STEP
-
-
 def scenario_ev(
     games: DataFrame, group: Sequence[str], game: str, team_a: str, team_b: str, p_a: str, p_b: str | None, pick_a: str, pick_b: str
 ) -> DataFrame:
@@ -56,8 +47,11 @@ def scenario_ev(
     The mean over 2^n outcomes is computed to about 12 digits in time linear in n, so no group
     is too large: 1/S is an integral of exp(-S*t), and for fixed t the outcomes of different
     games factorise. Per node t the group needs the sum of log(p e^-at + q e^-bt) over its
-    games (one partial aggregation); a team's value is then a sum over the nodes. An outcome
+    games; a team's value is then a sum over the nodes. An outcome
     that leaves nobody alive counts 0, and so does every team of a group in which no side has a share.
+
+    Games are listed by (group, hash), about ``LIST`` a list, and the lists are checkpointed: the input is not read
+    again, a group of any size is many lists, and only one row of sums per list is shuffled between the two steps.
     """
     g = list(group)
     pa = F.col(p_a)
@@ -74,46 +68,36 @@ def scenario_ev(
     span = rows.groupBy(*g).agg(
         F.min(tiny).alias("_small"), F.sum(F.greatest("_a", "_b")).alias("_scale"),
         F.sum(F.when(dead > 0, F.log(dead)).otherwise(0.0)).alias("_dead_log"), F.sum(F.when(dead > 0, 0).otherwise(1)).alias("_safe"),
-    )
-    worthless = rows.join(span.where(F.col("_small").isNull()).select(*g), g).select(*g, game, "_ta", "_tb", F.lit(0.0).alias("_ea"), F.lit(0.0).alias("_eb"))
-    span = span.where(F.col("_small").isNotNull()).select(
-        *g, "_dead_log", "_safe", "_scale",
-        F.ceil((F.lit(NODE_HIGH) + F.log(F.col("_scale") / F.col("_small"))) / STEP).cast("int").alias("_to"),
-    )
-    placed = spread(rows, game, work=NODES).join(span, g).withColumns({"_a": F.col("_a") / F.col("_scale"), "_b": F.col("_b") / F.col("_scale")})
-
-    def log_factor(t: Column) -> Column:
-        """log(p e^-at + q e^-bt), with the smaller exponent taken out front."""
-        low = F.least("_a", "_b")
-        gap = F.exp(-F.abs(F.col("_a") - F.col("_b")) * t)
-        inner = F.when(F.col("_a") <= F.col("_b"), F.col("_p") + F.col("_q") * gap).otherwise(F.col("_p") * gap + F.col("_q"))
-        return F.log(F.greatest(inner, F.lit(1e-300))) - low * t
-
-    first = F.lit(int(NODE_LOW / STEP))
-    t, weight = _node(F.col("_x"))
-    nodes = placed.select(*g, "_a", "_b", "_p", "_q", F.explode(F.sequence(first, "_to")).alias("_x"))
-    logs = (
-        nodes.groupBy(*g, "_x")
-        .agg(F.sum(log_factor(t)).alias("_l"))
-        .groupBy(*g)
-        .agg(F.collect_list(F.struct("_x", "_l")).alias("_nodes"))
-    )
+        F.ceil(F.count("*") / LIST).alias("_lists"),
+    ).withColumn("_to", F.ceil((F.lit(NODE_HIGH) + F.log(F.col("_scale") / F.col("_small"))) / STEP).cast("int"))
     others_dead = F.when(
         F.col("_safe") - F.when(dead > 0, 0).otherwise(1) == 0,
         F.exp(F.col("_dead_log") - F.when(dead > 0, F.log(dead)).otherwise(0.0)),
     ).otherwise(0.0)
-    # every game meets the node list of its group again and sums it up in the same task
-    again = placed.join(logs, g).withColumn("_gone", others_dead).select(
-        *g, game, "_ta", "_tb", "_a", "_b", "_p", "_q", "_scale", "_gone", F.explode("_nodes").alias("_n")
+    # a group without any share is left unscaled
+    scale = F.when(F.col("_to").isNotNull(), F.col("_scale")).otherwise(1.0)
+    placed = rows.join(span, g).withColumn("_gone", others_dead).withColumns({
+        "_scale": scale, "_a": F.col("_a") / scale, "_b": F.col("_b") / scale, "_list": F.pmod(F.xxhash64(game), F.col("_lists")),
+    })
+    at = [*g, "_list"]
+    dealt = placed.repartition(tasks(rows, NODES, PAIRS), *at)
+    listed = F.collect_list(F.struct(F.col(game).alias("_game"), "_ta", "_tb", "_a", "_b", "_p", "_q", "_gone"))
+    lists = cut_lineage(dealt.groupBy(*at, "_lists", "_to", "_scale").agg(listed.alias("_games")))
+    schema = lambda cols, made: T.StructType([*cols, *T._parse_datatype_string(made)])
+    shared = lists.where(F.col("_to").isNotNull()).select(*g, "_lists", "_to", "_games")
+    sums = shared.mapInArrow(log_sums, schema(shared.drop("_games").schema, "_sums array<double>"))
+    logs = (
+        sums.select(*g, "_lists", F.posexplode("_sums").alias("_x", "_l"))
+        .groupBy(*g, "_lists", "_x").agg(F.sum("_l").alias("_l"))
+        .groupBy(*g, "_lists").agg(F.transform(F.array_sort(F.collect_list(F.struct("_x", "_l"))), lambda n: n["_l"]).alias("_logs"))
     )
-    again = again.select("*", F.col("_n._x").alias("_x"), F.col("_n._l").alias("_l"))
-
-    def value(win: str, pick: str) -> Column:
-        gone = F.when(F.col(pick) == 0, F.col("_gone")).otherwise(0.0)
-        alone = F.exp(F.col("_l") - log_factor(t) - F.col(pick) * t)
-        return F.sum(weight * (alone - gone)) * F.first(F.col(win) / F.col("_scale"))
-
-    valued = again.groupBy(*g, game, "_ta", "_tb").agg(value("_p", "_a").alias("_ea"), value("_q", "_b").alias("_eb")).unionByName(worthless)
+    # one row for every list of the group, so that no group is joined in one task
+    logs = logs.select(*g, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_lists") - 1)).alias("_list"), "_logs")
+    again = lists.join(logs, at, "left").select(*g, "_to", "_scale", "_logs", "_games")
+    game_type = lists.schema["_games"].dataType.elementType
+    plain = ["_game", "_ta", "_tb"]
+    made = schema([*again.select(*g).schema, *[game_type[c] for c in plain]], "_ea double, _eb double")
+    valued = again.mapInArrow(values(g, plain), made).withColumnRenamed("_game", game)
     return to_team_long(valued, [*g, game], {"team": ("_ta", "_tb"), "ev": ("_ea", "_eb")}).select(*g, game, "team", "ev")
 
 

@@ -244,6 +244,11 @@ def cell_order(keys: Sequence[str], order: Column | str):
 MADE_ROWS = 250_000
 
 
+def tasks(df: DataFrame, work: int, made: int = MADE_ROWS) -> int:
+    """Tasks for a step that makes about ``work`` rows of each row of ``df``, ``made`` rows a task."""
+    return max(1, -(-df.count() * work // made))
+
+
 def spread(df: DataFrame, *keys: str, work: int, made: int = MADE_ROWS, in_order: bool = False) -> DataFrame:
     """Distribute rows by ``keys`` before a step that makes about ``work`` rows of each, ``made`` rows a task.
 
@@ -251,5 +256,5 @@ def spread(df: DataFrame, *keys: str, work: int, made: int = MADE_ROWS, in_order
     partitions follows what the step makes. ``keys`` should tell rows apart. ``in_order`` deals ranges of the
     keys: a task then holds few values of the first ones, and sums by them shrink before they are shuffled.
     """
-    n = max(1, -(-df.count() * work // made))
+    n = tasks(df, work, made)
     return df.repartitionByRange(n, *keys) if in_order else df.repartition(n, *keys)

@@ -127,6 +127,22 @@ def test_trials_are_drawn_once_and_summed_per_task(spark):
     assert made.count() == 1200
 
 
+def test_scenario_ev_lists_games_once(spark):
+    """A group of several lists beside one of a single game and one without a share; the steps read the lists, not the input."""
+    df = spark.range(2502, numPartitions=3).select(
+        F.when(F.col("id") < 2500, 1).otherwise(F.col("id") - 2498).alias("g"), F.col("id").alias("game"), F.lit("a").alias("ta"), F.lit("b").alias("tb"),
+        F.lit(1.0).alias("p"), F.when(F.col("id") < 2501, 2.0).otherwise(0.0).alias("ka"), F.lit(0.0).alias("kb"),
+    )
+    made = scenarios.scenario_ev(df, ["g"], "game", "ta", "tb", "p", None, "ka", "kb")
+    assert "Range (0" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got = made.groupBy("g", "team").agg(F.count("*").alias("n"), F.min("ev").alias("low"), F.max("ev").alias("high")).collect()
+    want = {(1, "a"): (2500, 1 / 5000), (2, "a"): (1, 0.5), (3, "a"): (1, 0.0)}
+    assert len(got) == 6
+    for r in got:
+        n, v = want.get((r["g"], r["team"]), (2500 if r["g"] == 1 else 1, 0.0))
+        assert r["n"] == n and (r["low"], r["high"]) == pytest.approx((v, v), rel=1e-9, abs=1e-12)
+
+
 # --- shares, ratings --------------------------------------------------------
 def test_redistribute_golden(spark, rows):
     df = spark.createDataFrame([("a", 0.5, 0.3), ("b", 0.3, 0.9), ("c", 0.2, 0.25)], "t string, x double, cap double").withColumn("g", F.lit(1))
