@@ -12,6 +12,9 @@ from pickwright import constants as K
 from pickwright.functions import rating
 from pickwright.skew import cell_order, nan_to_null, not_null, running_totals
 
+#: A counted table of at most so many rows may be hinted for broadcast.
+HINTED_ROWS = 200_000
+
 
 def over_weight(total: Column, weight: Column) -> Column:
     """``total / weight`` as IEEE has it: values of no weight in all have no mean, NaN, and fail no job."""
@@ -224,22 +227,29 @@ def pivot_mean(df: DataFrame, rows: Sequence[str], col: str, values: Sequence[st
 
 
 def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Pearson, Spearman (average ranks), MAE, RMSE, both deviations and their ratio: one row."""
+    """Pearson, Spearman (average ranks), MAE, RMSE, both deviations and their ratio: one row.
+
+    Spearman sums the ranks of ``a`` per value of ``b`` and multiplies them by that value's rank, so rows never
+    meet the ranks of ``b``. Ranks are taken from their mean, which keeps the sums small.
+    """
     both = nan_to_null(df.select(F.col(a).alias("_a"), F.col(b).alias("_b"))).where(not_null(["_a", "_b"]))
-    ranked = both
-    for c in ("_a", "_b"):
-        pos = running_totals(both, [], c, {"n": F.lit(1)})
-        ranked = ranked.join(pos.select(c, (F.col("n_upto") - F.col("n") + (F.col("n") + 1) / 2).alias(f"{c}_rank")), c)
+    rank = F.col("n_upto") - F.col("n") / 2 - F.col("n_total") / 2
+    ranks = running_totals(both, [], "_a", {"n": F.lit(1)}).select("_a", "n", rank.alias("_rank"))
+    few = ranks.limit(HINTED_ROWS + 1).count() <= HINTED_ROWS
+    met = both.join(F.broadcast(ranks.drop("n")) if few else ranks.drop("n"), "_a")
+    sums = running_totals(met, [], "_b", {"n": F.lit(1), "_ranks": F.col("_rank")})
+    square = _scalar(ranks, F.sum(F.col("n") * F.col("_rank") * F.col("_rank")))
+    common = sums.agg(F.max("n_total").alias("_n"), F.sum(rank * F.col("_ranks")).alias("_ab"), F.sum(F.col("n") * rank * rank).alias("_bb"))
+    spearman = common.select(F.when(F.col("_n") > 1, F.col("_ab") / F.sqrt(F.col("_bb") * square)).alias("v")).scalar()
     d = F.col("_a") - F.col("_b")
-    return ranked.agg(
+    return both.agg(
         F.corr("_a", "_b").alias("pearson"),
-        F.corr("_a_rank", "_b_rank").alias("spearman"),
         F.avg(F.abs(d)).alias("mae"),
         F.sqrt(F.avg(d * d)).alias("rmse"),
         F.stddev_samp("_a").alias("std_a"),
         F.stddev_samp("_b").alias("std_b"),
         (F.stddev_samp("_a") / F.stddev_samp("_b")).alias("std_ratio"),
-    )
+    ).select("pearson", spearman.alias("spearman"), "mae", "rmse", "std_a", "std_b", "std_ratio")
 
 
 def percentiles(df: DataFrame, keys: Sequence[str], x: str, qs: Mapping[str, float]) -> DataFrame:

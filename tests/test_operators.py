@@ -143,6 +143,21 @@ def test_scenario_ev_lists_games_once(spark):
         assert r["n"] == n and (r["low"], r["high"]) == pytest.approx((v, v), rel=1e-9, abs=1e-12)
 
 
+def test_agreement_joins_no_rows_to_ranks(spark):
+    """Ties on both sides and a null; ranks of the second column never meet the rows."""
+    rng = random.Random(4)
+    data = [(float(rng.randrange(9)), float(rng.randrange(40))) for _ in range(500)]
+    df = spark.createDataFrame([*data, (None, 1.0)], "a double, b double")
+    made = A.agreement(df, "a", "b")
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+    x = np.array(data)
+    ranks = [[(c < v).sum() + ((c == v).sum() + 1) / 2 for v in c] for c in x.T]
+    got = made.first()
+    assert got["spearman"] == pytest.approx(np.corrcoef(*ranks)[0, 1], abs=1e-12)
+    assert got["pearson"] == pytest.approx(np.corrcoef(*x.T)[0, 1], abs=1e-12)
+    assert A.agreement(df.where("false"), "a", "b").first()["spearman"] is None
+
+
 # --- shares, ratings --------------------------------------------------------
 def test_redistribute_golden(spark, rows):
     df = spark.createDataFrame([("a", 0.5, 0.3), ("b", 0.3, 0.9), ("c", 0.2, 0.25)], "t string, x double, cap double").withColumn("g", F.lit(1))
