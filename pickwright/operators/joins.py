@@ -133,6 +133,8 @@ def nearest_join(
     hit = F.struct(*[F.col(c) for c in (key, *cols)])
     # of rows with one key the least, so that every task sees the same one
     known = nan_to_null(table, [key]).where(not_null([*k, key])).groupBy(*k, F.col(key).cast("double").alias("_at")).agg(F.min(hit).alias("_hit"))
+    # the search for cuts reads it several times
+    known = cut_lineage(known)
     place = F.col(x).cast("double")
     asked = df.select(*k, F.when(~F.isnan(place), place).alias("_at"), F.struct(*df.columns).alias("_row"))
     no_row, no_hit = (F.lit(None).cast(t.schema[c].dataType) for t, c in ((asked, "_row"), (known, "_hit")))

@@ -52,8 +52,8 @@ def nan_to_null(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in wanted}) if wanted else df
 
 
-#: Cuts of one heavy group, and cuts per step of the search among them.
-CUTS, STEP = 1024, 32
+#: Cuts of one heavy group, a power of two.
+CUTS = 1024
 #: A heavy group's piece number stays below this.
 CODES = 4 * CUTS
 
@@ -71,19 +71,20 @@ def heavy_cuts(df: DataFrame, group: Sequence[str], x: str, piece_rows: int) ->
     shares = [i / CUTS for i in range(1, CUTS)]
     cuts = F.array_distinct(F.percentile_approx(x, shares, 16 * CUTS))
     found = df.select(*group, x).join(heavy, list(group), "left_semi").groupBy(*group).agg(cuts.alias("_cuts"))
-    coarse = F.filter("_cuts", lambda v, i: i % STEP == STEP - 1)
-    return cut_lineage(found.withColumn("_coarse", coarse))
+    found = cut_lineage(found)
+    # a small table, counted, is hinted: a join by shuffle would put a whole group into one task
+    return F.broadcast(found) if found.limit(CUTS + 1).count() <= CUTS else found
 
 
 def piece_of(x: Column) -> Column:
     """Piece of a value among ``_cuts``: even between two cuts, odd for a value that is itself a cut.
 
     An even piece holds at most 1 / CUTS of the group, beside the sketch's error; an odd one holds one value.
-    Groups without cuts are piece 0.
+    Groups without cuts are piece 0. The number of cuts below the value is found by halving, in ten steps.
     """
-    block = F.coalesce(F.size(F.filter("_coarse", lambda v: v < x)), F.lit(0)) * STEP
-    below = block + F.coalesce(F.size(F.filter(F.slice("_cuts", block + 1, F.lit(STEP)), lambda v: v < x)), F.lit(0))
-    code = below * 2 + F.coalesce(F.get("_cuts", below) == x, F.lit(False)).cast("int")
+    steps = F.array(*[F.lit(CUTS >> i) for i in range(1, CUTS.bit_length())])
+    halve = lambda below, step: below + F.when(F.get("_cuts", below + step - 1) < x, step).otherwise(0)
+    code = F.aggregate(steps, F.lit(0), halve, lambda below: below * 2 + F.coalesce(F.get("_cuts", below) == x, F.lit(False)).cast("int"))
     return F.when(F.col("_cuts").isNull(), 0).otherwise(code).cast("long")
 
 
@@ -122,7 +123,7 @@ def running_totals(
             *[F.sum(n).over(upto).alias(f"{n}_upto") for n in names],
             *[F.sum(n).over(whole).alias(f"{n}_total") for n in names],
         )
-    binned = cells.join(cuts, group, "left").withColumn("_bin", piece_of(F.col("_x"))).drop("_cuts", "_coarse")
+    binned = cells.join(cuts, group, "left").withColumn("_bin", piece_of(F.col("_x"))).drop("_cuts")
     totals = binned.groupBy(*group, "_bin").agg(*[F.sum(n).alias(n) for n in names])
     line = Window.partitionBy(*group)
     earlier = line.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)

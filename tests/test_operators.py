@@ -158,6 +158,20 @@ def test_agreement_joins_no_rows_to_ranks(spark):
     assert A.agreement(df.where("false"), "a", "b").first()["spearman"] is None
 
 
+def test_pieces_are_found_by_halving(spark):
+    import bisect
+
+    rng = random.Random(8)
+    assert "filter" not in str(skew.piece_of(F.col("x")))
+    for n in (0, 1, 2, 31, 512, 1022, 1023):
+        cuts = sorted(float(v) for v in rng.sample(range(5000), n))
+        asked = [float(rng.randrange(-5, 5005)) for _ in range(60)] + cuts[:1] + cuts[-1:] + [float("nan")]
+        df = spark.createDataFrame([(v,) for v in asked], "x double").withColumn("_cuts", F.array(*map(F.lit, cuts)).cast("array<double>"))
+        got = [r[0] for r in df.select(skew.piece_of(F.col("x"))).collect()]
+        low = [n if math.isnan(v) else bisect.bisect_left(cuts, v) for v in asked]
+        assert got == [2 * i + (i < n and cuts[i] == v) for i, v in zip(low, asked)]
+
+
 # --- shares, ratings --------------------------------------------------------
 def test_redistribute_golden(spark, rows):
     df = spark.createDataFrame([("a", 0.5, 0.3), ("b", 0.3, 0.9), ("c", 0.2, 0.25)], "t string, x double, cap double").withColumn("g", F.lit(1))
