@@ -65,6 +65,11 @@ def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """Hint a join by shuffle: Spark takes an exploded table for about as large as the one it is made from, and so would broadcast it."""
+    return df.hint("merge")
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else. All-ASCII texts take the byte-wise path."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pickwright.llm.common import map_texts, row_key, stored
+from pickwright.llm.common import by_shuffle, map_texts, row_key, stored
 from pickwright.llm.components import components
 
 SLICE = 1 << 15
@@ -98,7 +98,7 @@ def links(fps: DataFrame, distance: int = 3, hot: int = 256) -> DataFrame:
         probe = probe.union(p)
     cold = table.join(warm, ["seg", "key"], "left_anti") if any_hot else table
     pair = (F.bit_count(F.col("u").bitwiseXOR(F.col("fp"))) <= distance) & (F.col("u") < F.col("fp"))
-    pairs = probe.join(cold, ["seg", "key"]).where(pair).select("u", F.col("fp").alias("v"))
+    pairs = by_shuffle(probe).join(cold, ["seg", "key"]).where(pair).select("u", F.col("fp").alias("v"))
     if not any_hot:
         return pairs
     members = stored(table.join(warm, ["seg", "key"]), "hot-members")
@@ -114,7 +114,7 @@ def links(fps: DataFrame, distance: int = 3, hot: int = 256) -> DataFrame:
         near = distance // 2
         centre = points(members, "fp", near).groupBy("key", "point").agg(F.min("u").alias("v"))
         arms = points(members, "fp", distance - near).union(points(callers, "u", distance - 1 - near))
-        found.append(arms.join(centre, ["key", "point"]).where("u <> v").select("u", "v").distinct())
+        found.append(by_shuffle(arms).join(centre, ["key", "point"]).where("u <> v").select("u", "v").distinct())
     for f in found:
         pairs = pairs.union(f)
     return pairs

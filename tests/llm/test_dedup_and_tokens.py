@@ -175,6 +175,31 @@ def test_links_in_hot_buckets_lose_none(spark):
         assert [roots.get(f, f) for f in fps] == want
 
 
+def exploded_broadcasts(df):
+    """Joins of the planned query that broadcast a table with an explode below them."""
+    found = []
+
+    def walk(node):
+        kids = [node.children().apply(i) for i in range(node.children().size())]
+        name = node.nodeName() + "".join(map(walk, kids))
+        if node.nodeName().startswith("BroadcastHashJoin"):
+            side = kids["Right" in str(node.buildSide())]
+            found.extend([side.toString()] * ("Generate" in side.toString()))
+        return name
+
+    walk(df._jdf.queryExecution().sparkPlan())
+    return found
+
+
+@pytest.mark.parametrize("hot", [1, 10_000])
+def test_enumerated_fingerprints_are_not_broadcast(spark, tmp_path, hot):
+    """Spark takes the probes, 66 of a fingerprint, for no larger than the fingerprints themselves."""
+    rnd = random.Random(6)
+    fps = {rnd.getrandbits(63) for _ in range(300)} | {5 ^ 1 << b for b in range(40)}
+    spark.createDataFrame([(f,) for f in fps], "fp bigint").write.parquet(f"{tmp_path}/fps")
+    assert exploded_broadcasts(simhash.links(spark.read.parquet(f"{tmp_path}/fps"), 3, hot)) == []
+
+
 def _flip(x, bits):
     for b in bits:
         x ^= 1 << b
