@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pickwright.llm import simhash
-from pickwright.llm.common import broadcast_if, map_texts, row_key, stored
+from pickwright.llm.common import broadcast_if, by_shuffle, map_texts, row_key, stored
 from pickwright.llm.components import components
 
 #: A pair at 0.8 shares no band with probability (1 - 0.8^ROWS)^BANDS = 0.002.
@@ -67,10 +67,10 @@ def sets_batch(texts: list[str | None], shingle: int) -> dict[str, list]:
 
 def candidates(nodes: DataFrame, distance: int, hot: int) -> tuple[DataFrame, DataFrame]:
     """Distinct pairs u < v of nodes that share a band or whose fingerprints are linked, and the rows (band, value, node) of hot buckets."""
-    table = nodes.select(F.col("node"), F.posexplode("bands").alias("band", "value"))
+    table = by_shuffle(nodes.select(F.col("node"), F.posexplode("bands").alias("band", "value")))
     sizes = table.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).where("n > 1")
     sizes = stored(sizes, "band-sizes")
-    cold = table.join(sizes.where(F.col("n") <= hot).select("band", "value"), ["band", "value"])
+    cold = table.join(broadcast_if(sizes.where(F.col("n") <= hot).select("band", "value"), BROADCAST_ROWS), ["band", "value"])
     pairs = cold.select("band", "value", F.col("node").alias("u")).join(cold.select("band", "value", F.col("node").alias("v")), ["band", "value"])
     ends = table.join(broadcast_if(sizes.where(F.col("n") > hot), BROADCAST_ROWS), ["band", "value"])
     stars = ends.select(F.col("node").alias("u"), F.explode(F.array("a", "b")).alias("v"))

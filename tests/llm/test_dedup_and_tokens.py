@@ -200,6 +200,18 @@ def test_enumerated_fingerprints_are_not_broadcast(spark, tmp_path, hot):
     assert exploded_broadcasts(simhash.links(spark.read.parquet(f"{tmp_path}/fps"), 3, hot)) == []
 
 
+@pytest.mark.parametrize("rows", [0, 200_000])
+def test_bands_of_nodes_are_not_broadcast(spark, tmp_path, monkeypatch, rows):
+    rnd = random.Random(8)
+    made = [(k, k * 7919, [rnd.randrange(40) for _ in range(near_texts.BANDS)]) for k in range(400)]
+    spark.createDataFrame(made, "node bigint, fp bigint, bands array<bigint>").write.parquet(f"{tmp_path}/nodes")
+    monkeypatch.setattr(near_texts, "BROADCAST_ROWS", rows)
+    pairs, crowded = near_texts.candidates(spark.read.parquet(f"{tmp_path}/nodes"), 3, 10)
+    assert exploded_broadcasts(pairs) == [] == exploded_broadcasts(crowded)
+    alike = {(a, b) for a, _, x in made for b, _, y in made if a < b and any(p == q and sum(z[i] == p for _, _, z in made) <= 10 for i, (p, q) in enumerate(zip(x, y)))}
+    assert alike <= {(r["u"], r["v"]) for r in pairs.collect()}
+
+
 def _flip(x, bits):
     for b in bits:
         x ^= 1 << b
