@@ -1,4 +1,4 @@
-"""Forests on MLlib: crowd-pick regression, feature elimination, upset classification."""
+"""Forests: crowd-pick regression and feature elimination on MLlib, upset classification on arrays (``forest``)."""
 
 from __future__ import annotations
 
@@ -7,19 +7,20 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import Imputer, ImputerModel, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pickwright.operators.forest import Forest, grown
 from pickwright.session import cut_lineage
 from pickwright.skew import spread
 
-#: Trees that count as one made row where rows are dealt over tasks: a task holds about 25,000 rows of 200 trees.
-TREES_A_ROW = 20
+#: Trees that count as one made row where rows are dealt over tasks: a task holds about 125,000 rows of 200 trees.
+TREES_A_ROW = 100
+#: Classes of a label at most, as in MLlib.
+CLASSES = 100
 
 
 @dataclass
@@ -123,31 +124,42 @@ def rfe(
     return left
 
 
-def train_upset_model(train: DataFrame, features: Sequence[str], label: str, trees: int = 200, depth: int = 8, seed: int = 42) -> FittedModel:
+@dataclass
+class UpsetModel:
+    imputer: ImputerModel
+    forest: Forest
+    features: list[str]
+
+    def importances(self) -> dict[str, float]:
+        return dict(zip(self.features, [float(v) for v in self.forest.importances()]))
+
+
+def train_upset_model(train: DataFrame, features: Sequence[str], label: str, trees: int = 200, depth: int = 8, seed: int = 42) -> UpsetModel:
     """Balanced classification forest on mean-imputed features."""
-    rows = train.where(F.col(label).isNotNull()).withColumn("_y", F.col(label).cast("double"))
+    rows = train.where(F.col(label).isNotNull()).select(F.col(label).cast("double").alias("_y"), *[F.col(f).cast("double").alias(f) for f in features])
+    counts = {r["_y"]: r["_n"] for r in rows.groupBy("_y").agg(F.count("*").alias("_n")).limit(CLASSES + 1).collect()}
+    if not counts:
+        raise ValueError(f"no row has {label}")
+    if len(counts) > CLASSES or any(y != int(y) or not 0 <= y < CLASSES for y in counts):
+        raise ValueError(f"{label} must count classes from 0, {CLASSES} at most")
     # n / (classes * n of the class), from the label counts
-    counts = rows.groupBy("_y").agg(F.count("*").alias("_n"))
-    total, classes = counts.select(F.sum("_n")).scalar(), counts.select(F.count("*")).scalar()
-    weights = counts.select("_y", (total / (classes * F.col("_n"))).alias("_weight"))
-    rows = _dealt(rows.join(weights, "_y"), features, trees)
-    filled = [f"_{f}" for f in features]
-    stages = [
-        Imputer(strategy="mean", inputCols=list(features), outputCols=filled),
-        VectorAssembler(inputCols=filled, outputCol="features"),
-        RandomForestClassifier(labelCol="_y", featuresCol="features", weightCol="_weight", numTrees=trees, maxDepth=depth, seed=seed),
-    ]
-    doubles = rows.withColumns({f: F.col(f).cast("double") for f in features})
-    return FittedModel(Pipeline(stages=stages).fit(cut_lineage(doubles)), list(features))
+    weights = [sum(counts.values()) / (len(counts) * counts[y]) if y in counts else 0.0 for y in range(max(2, 1 + int(max(counts))))]
+    rows = cut_lineage(_dealt(rows, features, trees))
+    imputer = Imputer(strategy="mean", inputCols=list(features), outputCols=_filled(features)).fit(rows)
+    return UpsetModel(imputer, grown(imputer.transform(rows), "_y", _filled(features), weights, trees, depth, seed), list(features))
+
+
+def _filled(features: Sequence[str]) -> list[str]:
+    return [f"_{f}" for f in features]
 
 
 def _dealt(df: DataFrame, features: Sequence[str], trees: int) -> DataFrame:
-    """Rows over as many tasks as the trees ask for: MLlib works in the partitions it is given, and a scan of few bytes has few."""
+    """Rows over as many tasks as the trees ask for: a scan of few bytes has few."""
     return spread(df, *features, work=max(1, trees // TREES_A_ROW))
 
 
-def predict_upsets(fitted: FittedModel, df: DataFrame) -> DataFrame:
-    df = _dealt(df, fitted.features, fitted.model.stages[-1].getNumTrees)
+def predict_upsets(fitted: UpsetModel, df: DataFrame) -> DataFrame:
+    df = _dealt(df, fitted.features, len(fitted.forest.trees))
     doubles = df.withColumns({f: F.col(f).cast("double") for f in fitted.features})
-    scored = fitted.model.transform(doubles).withColumn("upset_probability", vector_to_array("probability")[1])
-    return scored.select(*df.columns, "upset_probability")
+    filled = fitted.imputer.transform(doubles)
+    return filled.withColumn("upset_probability", fitted.forest.probability(_filled(fitted.features))).select(*df.columns, "upset_probability")

@@ -245,12 +245,12 @@ def cell_order(keys: Sequence[str], order: Column | str):
 MADE_ROWS = 250_000
 
 
-def tasks(df: DataFrame, work: int, made: int = MADE_ROWS) -> int:
-    """Tasks for a step that makes about ``work`` rows of each row of ``df``, ``made`` rows a task."""
-    return max(1, -(-df.count() * work // made))
+def tasks(df: DataFrame, work: int, made: int | None = None) -> int:
+    """Tasks for a step that makes about ``work`` rows of each row of ``df``, ``made`` (else ``MADE_ROWS``) rows a task."""
+    return max(1, -(-df.count() * work // (made or MADE_ROWS)))
 
 
-def spread(df: DataFrame, *keys: str, work: int, made: int = MADE_ROWS, in_order: bool = False) -> DataFrame:
+def spread(df: DataFrame, *keys: str, work: int, made: int | None = None, in_order: bool = False) -> DataFrame:
     """Distribute rows by ``keys`` before a step that makes about ``work`` rows of each, ``made`` rows a task.
 
     AQE would size the partitions by the bytes before that step, so the rows are counted; the number of

@@ -585,3 +585,72 @@ def test_plays_are_dealt_by_rows(spark, monkeypatch):
     monkeypatch.setattr(skew, "MADE_ROWS", 500)
     n = spark.read.parquet(f"{ROOT}/sf0.001/lineitem.parquet").count()
     assert plays(spark, f"{ROOT}/sf0.001").rdd.getNumPartitions() >= n // 500 > 4
+
+
+def test_forest_is_that_of_mllib(spark):
+    """The same chances and importances as MLlib's forest up to the draws, on rows with missing features and labels; its counts are those of the rows."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import Imputer, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    from pickwright.operators import forest, models
+
+    draw = lambda k, n: f"double(pmod(xxhash64(id, {k}), {n}))"
+    df = spark.range(1500).selectExpr("id", f"{draw(1, 1000)} AS a", f"if(id % 9 = 0, null, {draw(2, 20)}) AS b", f"{draw(3, 50)} AS c")
+    df = df.selectExpr("*", f"if(id % 11 = 0, null, int(a / 1000 + coalesce(b, 5) / 20 + {draw(4, 100)} / 100 > 2.0)) AS y").cache()
+    names, trees, depth = ["a", "b", "c"], 60, 5
+    fitted = models.train_upset_model(df, names, "y", trees, depth)
+    got = {r["id"]: r["upset_probability"] for r in models.predict_upsets(fitted, df).collect()}
+    again = models.train_upset_model(df, names, "y", trees, depth)
+    assert [t.counts.tolist() for t in again.forest.trees] == [t.counts.tolist() for t in fitted.forest.trees]
+
+    known = df.where("y IS NOT NULL")
+    n = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    weighed = known.withColumns({"w": F.when(F.col("y") == 1, 1 / n[1]).otherwise(1 / n[0]) * (sum(n.values()) / 2), "y": F.col("y").cast("double")})
+    filled = [f"_{c}" for c in names]
+    stages = [Imputer(inputCols=names, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="features"), RandomForestClassifier(labelCol="y", weightCol="w", numTrees=trees, maxDepth=depth, seed=3)]
+    plain = Pipeline(stages=stages).fit(weighed)
+    want = {r["id"]: r["p"] for r in plain.transform(df).select("id", vector_to_array("probability")[1].alias("p")).collect()}
+    gap = np.array([got[k] - want[k] for k in want])
+    assert set(got) == set(want) and np.abs(gap).mean() < 0.03 and abs(gap.mean()) < 0.01
+    assert np.abs(np.array(list(fitted.importances().values())) - plain.stages[-1].featureImportances.toArray()).max() < 0.06
+
+    for t in fitted.forest.trees:
+        inner = np.flatnonzero(t.child != np.arange(len(t.child)))
+        assert forest.height(t.child) <= depth and abs(int(t.counts[0].sum()) - sum(n.values())) < 200  # Poisson draws of mean 1
+        assert all((t.counts[k] == t.counts[t.child[k]] + t.counts[t.child[k] + 1]).all() for k in inner)
+
+
+def test_forest_of_one_class_or_constant_features(spark):
+    from pickwright.operators import models
+
+    df = spark.createDataFrame([(k, 1.0, float(k % 3), 1, k % 2, 0) for k in range(60)], "id int, f double, g double, one int, y int, zero int")
+    chance = lambda label, names: {round(r["upset_probability"], 9) for r in models.predict_upsets(models.train_upset_model(df, names, label, 8, 3), df).collect()}
+    assert chance("one", ["f", "g"]) == {1.0} and chance("zero", ["f", "g"]) == {0.0}
+    assert all(0.2 < p < 0.8 for p in chance("y", ["f"]))
+    with pytest.raises(ValueError):
+        models.train_upset_model(df.where("id < 0"), ["f"], "y")
+    with pytest.raises(ValueError):
+        models.train_upset_model(df.withColumn("y", F.col("id") - 3), ["f"], "y")
+
+
+def test_best_split_is_that_of_all_splits():
+    from pickwright.operators import forest
+
+    rnd = np.random.default_rng(5)
+    counts, weights = rnd.integers(0, 4, (6, 2, 3, 5)) * rnd.integers(0, 2, (6, 2, 3, 5)), np.array([0.7, 1.9])
+    counts[:, :, 1:, -1] += (counts[:, :, :1].sum(axis=3) - counts[:, :, 1:].sum(axis=3)).clip(0)
+    allowed = rnd.random((6, 3)) < 0.7
+    feature, cut, gain, left = forest.best_splits(counts, weights, allowed)
+    impurity = lambda c: 1 - sum(((c * weights) / (c * weights).sum()) ** 2) if c.sum() else 0.0
+    for k in range(6):
+        found = [-1.0]
+        for f in np.flatnonzero(allowed[k]):
+            for b in range(4):
+                a, z = counts[k, :, f, : b + 1].sum(axis=1), counts[k, :, f, b + 1 :].sum(axis=1)
+                if a.sum() and z.sum():
+                    share = (a * weights).sum() / ((a + z) * weights).sum()
+                    found.append(impurity(a + z) - share * impurity(a) - (1 - share) * impurity(z))
+        assert abs(max(found) - gain[k]) < 1e-12
+        assert max(found) < 0 or (left[k] == counts[k, :, feature[k], : cut[k] + 1].sum(axis=1)).all()
