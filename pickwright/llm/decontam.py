@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pickwright.llm.common import ascii_lower, bound, broadcast_if, row_key, stored
+from pickwright.llm.common import ascii_lower, bound, broadcast_if, by_shuffle, row_key, stored
 
 SPAN = 10
 #: Word separators after lower-casing A-Z: ASCII other than digits and lower-case letters.
@@ -72,7 +72,8 @@ def meet(index: DataFrame, windows: DataFrame, slop: int = 0) -> DataFrame:
     # every offset allowed is a join key, so a frequent term's places in one document don't meet pair by pair
     aimed = first.withColumn("off_by", F.explode(F.sequence(F.lit(-slop), F.lit(slop)))) if slop else first.withColumn("off_by", F.lit(0))
     place = F.col("start") + F.col("o2") + F.col("off_by")
-    return aimed.join(other, same & (place == F.col("__p"))).select("__id", "__h", "start", "off_by", "phrase", "n", "items")
+    # postings of few terms are small files, not few rows
+    return aimed.join(by_shuffle(other), same & (place == F.col("__p"))).select("__id", "__h", "start", "off_by", "phrase", "n", "items")
 
 
 class Index:

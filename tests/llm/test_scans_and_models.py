@@ -306,3 +306,12 @@ def test_quality_fit_equals_plain_gradient_steps():
         new = v - step * np.concatenate([[e.sum()], a.T @ e + 0.01 * v[1:]])
         v, w = new + k / (k + 3) * (new - w), new
     assert np.allclose(made.weights.ravel(), w[1:] / spread, atol=1e-5)
+
+
+def test_postings_are_not_broadcast(spark):
+    """Postings of few terms are so small as files that Spark would send all of them through the driver."""
+    texts = [f"alpha beta gamma delta {k} epsilon zeta eta theta iota kappa lambda mu nu" for k in range(20)]
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "epsilon zeta eta theta iota kappa lambda mu nu")], "item_id int, text string")
+    index = decontam.Index(docs(spark, texts), bench)
+    plan = decontam.meet(index.index, index.windows)
+    assert plan.count() == 40 and "SortMergeJoin" in plan._jdf.queryExecution().sparkPlan().toString()
